@@ -29,10 +29,14 @@ from orbweave.llm.common import map_chunks
 
 #: Matches longer than this are encoded anew each time, shorter ones once per worker.
 MEMO_CHARS = 48
-#: Entries of a worker's memo, which is emptied when full: about 80 MB.
-MEMO_ENTRIES = 400_000
+#: Entries of a worker's memo, which is emptied when full: about 220 MB.
+MEMO_ENTRIES = 1_000_000
+#: Entries of its memos of pairs, subtrees and windows each, about 30 MB.
+SMALL_ENTRIES = 200_000
 #: Halving ends at so many bytes.
 LEAF = 2
+#: Subtrees over at most so many bytes are encoded once per worker.
+SUBTREE = 8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,10 +49,25 @@ class TreeBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.token = {i: b for b, i in ranks.items()}
+        self.token = [b""] * (max(ranks.values()) + 1)
+        for data, i in ranks.items():
+            self.token[i] = data
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.subtrees: dict[bytes, list[int]] = {}
+        self.windows: dict[bytes, list[int]] = {}
         self.memo = _Memo(self)
 
+    def window(self, data: bytes) -> list[int]:
+        """``merged``, remembered for the short windows that come up at seams again and again."""
+        known = self.windows.get(data)
+        if known is None:
+            known = self.merged(data)
+            if len(data) <= 2 * SUBTREE:
+                if len(self.windows) >= SMALL_ENTRIES:
+                    self.windows.clear()
+                self.windows[data] = known
+        return known
+
     def merged(self, data: bytes) -> list[int]:
         """The encoding of a few bytes by its definition: the lowest rank first, the leftmost of equals."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
@@ -65,7 +84,7 @@ class TreeBpe:
         """Whether the two tokens' bytes, encoded together, give the two tokens."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > MEMO_ENTRIES:
+            if len(self.pairs) >= SMALL_ENTRIES:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return known
@@ -78,7 +97,7 @@ class TreeBpe:
             return a + b
         left = right = 1
         while True:
-            window = self.merged(b"".join(self.token[t] for t in a[len(a) - left :] + b[:right]))
+            window = self.window(b"".join(self.token[t] for t in a[len(a) - left :] + b[:right]))
             grown = False
             if left < len(a) and not self.stable(a[-left - 1], window[0]):
                 left, grown = min(len(a), 2 * left), True
@@ -94,10 +113,20 @@ class TreeBpe:
         return self._tree(data)
 
     def _tree(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merged(data)
-        half = len(data) // 2
-        return self.join(self._tree(data[:half]), self._tree(data[half:]))
+        known = self.subtrees.get(data)
+        if known is not None:
+            return known
+        n = len(data)
+        if n <= LEAF:
+            out = self.merged(data)
+        else:
+            half = 1 << (n - 1).bit_length() - 1  # the left half is a full tree, and so often met before
+            out = self.join(self._tree(data[:half]), self._tree(data[half:]))
+        if n <= SUBTREE:
+            if len(self.subtrees) >= SMALL_ENTRIES:
+                self.subtrees.clear()
+            self.subtrees[data] = out
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
