@@ -162,11 +162,12 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, one_in: int = ONE_IN, limit: int = BLOCK_BYTES) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
     found = _matched(docs, benchmark, text_col, item_col, item_text_col, width, limit)
-    at, n = found.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, n = names.index(text_col), len(names)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = [not _judged(s or [], len(words_of(t)) if s else 0, one_in)[1] for t, s in zip(text_bytes(batch.column(at)), batch.column(n).to_pylist())]
         kept = batch.filter(pa.array(keep, pa.bool_()))
-        return pa.RecordBatch.from_arrays(kept.columns[:n], docs.columns)
+        return pa.RecordBatch.from_arrays(kept.columns[:n], names)
 
     return map_chunks(found, run, docs.schema, text_col)

@@ -39,6 +39,8 @@ LANES = 1 << 14
 _LEVELS = 1 << 30
 #: Texts that need more bits a byte than this in every language are taken for none of them by ``keep_known``.
 MOST_BITS = 7.0
+#: Texts of fewer bytes can't be told from any language by that.
+SHORT = 64
 UND = "und"
 _FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _SPACES = re.compile(rb"  +")
@@ -200,11 +202,13 @@ def predict(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col
 
 
 def keep_known(df: DataFrame, parser: CrossParser, text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows whose text is in one of the languages: those with a letter and at most ``most_bits`` a byte in the best language."""
+    """The rows whose text is in one of the languages: those with a letter, and at most ``most_bits`` a byte in the best language unless they are short."""
     at = df.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, bits = parser.parse([t or "" for t in batch.column(at).to_pylist()])
-        return batch.filter(pa.array(bits <= most_bits))
+        texts = [t or "" for t in batch.column(at).to_pylist()]
+        _, _, bits = parser.parse(texts)
+        short = np.array([len(t) < SHORT for t in texts], bool)
+        return batch.filter(pa.array((bits <= most_bits) | short & np.isfinite(bits)))
 
     return map_chunks(df, run, df.schema, text_col)

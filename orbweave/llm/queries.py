@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, crf, decontaminate, langid, ogg, simhash, tokencount, urlfilter
+from orbweave.llm import bpe, crf, decontaminate, langid, ogg, simhash, subdedup, tokencount, urlfilter
 from orbweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subdedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", (F.size("cut_spans") / 2).cast("int").alias("n_cut"), "cut_spans")
+
+
 @query("op7_line_quality")
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
