@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, crf, decontaminate, langid, ogg, simhash, subdedup, tokencount, urlfilter
+from orbweave.llm import bpe, crf, decontaminate, langid, maskedlm, ogg, simhash, subdedup, tokencount, urlfilter
 from orbweave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,12 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op8_masked_lm")
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return maskedlm.score(docs, maskedlm.fit(docs))
+
+
 #: Rules by verdict, and blocked domains for URLs that no rule fits.
 BLOCK_RULES = ("net/", "example.com/de/")
 ALLOW_RULES = ("example.net/en/", "org/fr/")
