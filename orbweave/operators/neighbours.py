@@ -29,8 +29,6 @@ PAIRS_IN_BLOCKS = 2_000_000_000
 BLOCK = 4_096
 #: A cell is wider than the radius by so much, for the rounding of FLOAT squares.
 MARGIN = 1e-4
-_DATA = V.vec("x", "y", "z")
-_QUERY = V.vec("qx", "qy", "qz")
 
 
 def _points(df: DataFrame) -> DataFrame:
@@ -42,7 +40,7 @@ def _queries(df: DataFrame) -> DataFrame:
 
 
 def _d2() -> Column:
-    return V.squared_distance(_DATA, _QUERY)
+    return V.squared_distance(V.vec("x", "y", "z"), V.vec("qx", "qy", "qz"))
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
