@@ -63,9 +63,15 @@ def octants(tree: Octree, level: int = 1) -> DataFrame:
 
 
 def ropes(tree: Octree) -> DataFrame:
-    """(key, index, next_index, rope, is_leaf): places in depth-first order, and the place after each node's subtree."""
-    order = Window.orderBy("key")  # a prefix sorts before what it begins
-    placed = tree.nodes.select("key", "is_leaf", (F.row_number().over(order) - 1).cast("bigint").alias("index"))
-    prefixes = tree.nodes.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("key"))
-    sizes = prefixes.groupBy("key").agg(F.count("*").alias("size"))
-    return placed.join(sizes, "key").select("key", "index", (F.col("index") + 1).alias("next_index"), (F.col("index") + F.col("size")).alias("rope"), "is_leaf")
+    """(key, index, next_index, rope, is_leaf): places in depth-first order, and the place after each node's subtree.
+
+    Before a node come its ancestors and the subtrees of its and its ancestors' earlier siblings, so places are sums over a
+    key's prefixes and no task sorts all nodes.
+    """
+    prefixes = tree.nodes.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("q"))
+    sizes = prefixes.groupBy("q").agg(F.count("*").alias("size"))
+    parent = F.when(F.length("q") > 0, F.expr("substring(q, 1, length(q) - 1)"))
+    earlier = F.sum("size").over(Window.partitionBy("parent").orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.withColumn("parent", parent).select("q", "size", F.coalesce(earlier, F.lit(0)).alias("before"))
+    places = prefixes.join(before, "q").groupBy("key").agg((F.sum("before") + F.length(F.col("key"))).cast("bigint").alias("index"), F.sum(F.when(F.col("q") == F.col("key"), F.col("size"))).alias("size"))
+    return places.join(tree.nodes.select("key", "is_leaf"), "key").select("key", "index", (F.col("index") + 1).alias("next_index"), (F.col("index") + F.col("size")).alias("rope"), "is_leaf")
