@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +30,11 @@ from orbweave.llm.common import map_chunks
 
 #: Matches longer than this are encoded anew each time, shorter ones once per worker.
 MEMO_CHARS = 48
-#: Entries of a worker's memo, which is emptied when full: about 220 MB.
-MEMO_ENTRIES = 1_000_000
-#: Entries of its memos of pairs, subtrees and windows each, about 30 MB.
-SMALL_ENTRIES = 200_000
+#: Entries of each of the two generations of a worker's memo, about 35 MB. A full young one becomes the old one, whose
+#: entries come back as they are met, so that frequent words stay and rare ones go.
+MEMO_ENTRIES = 150_000
+#: Entries of its memos of pairs, subtrees and windows each, about 15 MB.
+SMALL_ENTRIES = 100_000
 #: Halving ends at so many bytes.
 LEAF = 2
 #: Subtrees over at most so many bytes are encoded once per worker.
@@ -52,7 +54,7 @@ class TreeBpe:
         self.token = [b""] * (max(ranks.values()) + 1)
         for data, i in ranks.items():
             self.token[i] = data
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], list[int] | None] = {}
         self.subtrees: dict[bytes, list[int]] = {}
         self.windows: dict[bytes, list[int]] = {}
         self.memo = _Memo(self)
@@ -80,31 +82,34 @@ class TreeBpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [ranks[p] for p in parts]
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the two tokens' bytes, encoded together, give the two tokens."""
-        known = self.pairs.get((a, b))
-        if known is None:
+    def seam(self, a: int, b: int) -> list[int] | None:
+        """None if the two tokens are stable, i.e. their bytes, encoded together, give the two tokens; else what they give."""
+        known = self.pairs.get((a, b), 0)
+        if known == 0:
             if len(self.pairs) >= SMALL_ENTRIES:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+            found = self.merged(self.token[a] + self.token[b])
+            known = self.pairs[a, b] = None if found == [a, b] else found
         return known
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of two encoded strings' concatenation."""
         if not a or not b:
             return a + b
-        if self.stable(a[-1], b[0]):
+        window = self.seam(a[-1], b[0])
+        if window is None:
             return a + b
         left = right = 1
         while True:
-            window = self.window(b"".join(self.token[t] for t in a[len(a) - left :] + b[:right]))
-            grown = False
-            if left < len(a) and not self.stable(a[-left - 1], window[0]):
-                left, grown = min(len(a), 2 * left), True
-            if right < len(b) and not self.stable(window[-1], b[right]):
-                right, grown = min(len(b), 2 * right), True
-            if not grown:
+            wider, further = left, right
+            if left < len(a) and self.seam(a[-left - 1], window[0]) is not None:
+                wider = min(len(a), 2 * left)
+            if right < len(b) and self.seam(window[-1], b[right]) is not None:
+                further = min(len(b), 2 * right)
+            if wider == left and further == right:
                 return a[: len(a) - left] + window + b[right:]
+            left, right = wider, further
+            window = self.window(b"".join([self.token[t] for t in a[len(a) - left :] + b[:right]]))
 
     def encode_piece(self, data: bytes) -> list[int]:
         """One match of the pattern."""
@@ -140,13 +145,18 @@ class TreeBpe:
 class _Memo(dict):
     def __init__(self, bpe: TreeBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.bpe.encode_piece(piece.encode())
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.old.get(piece)
+        if out is None:
+            ids = array("I", self.bpe.encode_piece(piece.encode()))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out = ids.tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.old = self.copy()
                 self.clear()
             self[piece] = out
         return out

@@ -4,7 +4,8 @@ A bounded sample of labelled text per language is kept as a suffix automaton. A
 the longest phrases that occur in a language's sample; the language that needs the fewest phrases, normalised
 as phrases * log2(sample length) / text length, wins. Texts are folded first: lower case, UTF-8 bytes, all
 ASCII but letters as one space. They are parsed in blocks of ``BLOCK`` bytes, so that all blocks of a batch walk
-an automaton abreast, as gathers from its transition table; a block's start costs every language one phrase.
+an automaton abreast, as gathers from its transition table; a block's start costs every language one phrase. A byte
+that a language's sample hasn't ends a phrase and begins the next.
 
 Bound of the sample: at most ``LANGUAGE_BYTES`` of folded text per language (less with more than 8 languages,
 ``TOTAL_BYTES`` in all), in slices of ``SLICE`` characters from documents chosen by a hash of their text, so
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import held_out, map_chunks
 
-LANGUAGE_BYTES = 48 << 10
-TOTAL_BYTES = 384 << 10
+LANGUAGE_BYTES = 32 << 10
+TOTAL_BYTES = 256 << 10
 SLICE = 2_000
 BLOCK = 256
 #: Blocks that walk abreast.
@@ -111,7 +112,7 @@ class CrossParser:
         return lang, np.where(known, score, 0.0).tolist(), np.where(known, bits.min(axis=1), np.inf)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tables(parser: CrossParser) -> tuple[np.ndarray, list[np.ndarray], int]:
     """Byte classes and, per language, the flat table of (state, class) to the next state's row; negative, by its complement, where a phrase ends before this byte."""
     found = sorted(set(b"".join(parser.samples)))
