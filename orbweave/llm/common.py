@@ -1,18 +1,20 @@
-"""What the text operators share: batch maps over Arrow, and tables that cut lineage."""
+"""What the text operators share: batch maps over Arrow in slices of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.plans.cuts import Cuts
+
+__all__ = ["Cuts", "chunks", "held_out", "map_chunks", "text_bytes"]
+
 #: Bytes of text that a Python function gets at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -47,36 +49,3 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the ids that no model learns from; a null id is held out as well."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; without the setting (tests on one machine) a local one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-class Cuts:
-    """Tables written to the shared folder and read again, so that a lost executor costs a read and no recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/orbweave-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._cut_path = path
-        return out
-
-    def drop(self, df: DataFrame | None) -> None:
-        """Deletes the files behind a table that nothing reads any more."""
-        path = getattr(df, "_cut_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -22,6 +22,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbweave.llm.common import Cuts, chunks, map_chunks, text_bytes
 
@@ -107,6 +108,83 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOC
     return out
 
 
+def _judged(spans: list[int], n_words: int, one_in: int) -> tuple[int, bool]:
+    hit = sum(spans[1::2]) - sum(spans[::2])
+    return hit, hit > 0 and one_in * hit >= n_words
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, finish, schema, text_col: str, item_col: str, item_text_col: str, width: int, limit: int) -> DataFrame:
+    """One pass over the documents per block. The last one's matches go to ``finish(batch, words, spans, items, n_items)``, which makes the result."""
+    spark, names = docs.sparkSession, docs.columns
+    at, n = names.index(text_col), len(names)
+    all_blocks = blocks(benchmark, item_col, item_text_col, limit)
+    cuts = Cuts(spark) if len(all_blocks) > 1 else None
+    out = docs
+    for b, items in enumerate(all_blocks):
+        index = WindowIndex(items, count_words(docs, {w for _, words in items for w in words}, text_col), width)
+        sent = spark.sparkContext.broadcast((index, [i for i, _ in items]))
+
+        def run(batch: pa.RecordBatch, sent=sent, first=b == 0, last=b == len(all_blocks) - 1) -> pa.RecordBatch:
+            index, ids = sent.value
+            own = pa.RecordBatch.from_arrays(batch.columns[:n], names)
+            before = [([], [], 0)] * batch.num_rows if first else list(zip(*(batch.column(j).to_pylist() for j in (n, n + 1, n + 2))))
+            all_words, spans, found, number = [], [], [], []
+            for text, (old, items, k) in zip(text_bytes(batch.column(at)), before):
+                words = words_of(text)
+                now, hit = index.match(words)
+                spans.append([x for s in _covered(now + list(zip(old[::2], old[1::2]))) for x in s])
+                found.append(items + [ids[i] for i in hit if ids[i] is not None])
+                number.append(k + len(hit))
+                all_words.append(len(words))
+            if last:
+                return finish(own, all_words, spans, found, number)
+            added = [pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(number, pa.int32())]
+            return pa.RecordBatch.from_arrays([*own.columns, *added], [*names, "__spans", "__items", "__n_items"])
+
+        if b == len(all_blocks) - 1:
+            return map_chunks(out, run, schema, text_col)
+        wider = T.StructType([*docs.schema.fields, T.StructField("__spans", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n_items", T.IntegerType())])
+        out = cuts.cut(map_chunks(out, run, wider, text_col))
+
+
+def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Spans of words inside occurrences, and the items that occur."""
+        spans, found, places, n = [], set(), self.places, len(words)
+        for i in [i for i, w in enumerate(words) if w in places]:
+            for offset, size in places[words[i]]:
+                begin = i - offset
+                if begin < 0 or begin + size > n:
+                    continue
+                items = self.windows.get(tuple(words[begin : begin + size]))
+                if items is not None:
+                    spans.append((begin, begin + size))
+                    found |= items
+        return spans, found
+
+
+def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_BYTES) -> list[list[tuple[str | None, list[bytes]]]]:
+    """The benchmark's items in blocks of about ``limit`` bytes; an item is never divided."""
+    out, size = [[]], 0
+    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
+        data = bytes(text or b"")
+        if out[-1] and size + len(data) > limit:
+            out.append([])
+            size = 0
+        out[-1].append((item, words_of(data)))
+        size += len(data)
+    return out
+
+
 def _matched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, limit: int) -> DataFrame:
     """``docs`` with ``__spans`` (flat begins and ends) and ``__items`` of all blocks."""
     out = docs.withColumns({"__spans": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>"), "__n_items": F.lit(0)})
@@ -144,30 +222,23 @@ def _judged(spans: list[int], n_words: int, one_in: int) -> tuple[int, bool]:
 def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, one_in: int = ONE_IN, limit: int = BLOCK_BYTES) -> DataFrame:
     """id, ``n_words``, ``n_hit``, ``n_items``, ``items`` (ids as sorted strings), ``items_sha256``, ``spans`` (flat) and ``contaminated`` of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    found = _matched(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, width, limit)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = [len(words_of(t)) for t in text_bytes(batch.column(1))]
-        spans = [s or [] for s in batch.column(2).to_pylist()]
-        items = [sorted(i or []) for i in batch.column(3).to_pylist()]
+    def finish(batch: pa.RecordBatch, n: list[int], spans: list, items: list, number: list) -> pa.RecordBatch:
+        items = [sorted(i) for i in items]
         judged = [_judged(s, k, one_in) for s, k in zip(spans, n)]
         return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(n, pa.int64()), pa.array([h for h, _ in judged], pa.int64()), batch.column(4).cast(pa.int64()), pa.array(items, pa.list_(pa.string())),
-            pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()), batch.column(2), pa.array([c for _, c in judged], pa.bool_()),
+            batch.column(0), pa.array(n, pa.int64()), pa.array([h for h, _ in judged], pa.int64()), pa.array(number, pa.int64()), pa.array(items, pa.list_(pa.string())),
+            pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()), pa.array(spans, pa.list_(pa.int32())), pa.array([c for _, c in judged], pa.bool_()),
         ], [id_col, "n_words", "n_hit", "n_items", "items", "items_sha256", "spans", "contaminated"])
 
-    return map_chunks(found, run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<int>, contaminated boolean", text_col)
+    schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<int>, contaminated boolean"
+    return _joined(docs.select(id_col, text_col), benchmark, finish, schema, text_col, item_col, item_text_col, width, limit)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, one_in: int = ONE_IN, limit: int = BLOCK_BYTES) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    found = _matched(docs, benchmark, text_col, item_col, item_text_col, width, limit)
-    names = docs.columns
-    at, n = names.index(text_col), len(names)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [not _judged(s or [], len(words_of(t)) if s else 0, one_in)[1] for t, s in zip(text_bytes(batch.column(at)), batch.column(n).to_pylist())]
-        kept = batch.filter(pa.array(keep, pa.bool_()))
-        return pa.RecordBatch.from_arrays(kept.columns[:n], names)
+    def finish(batch: pa.RecordBatch, n: list[int], spans: list, items: list, number: list) -> pa.RecordBatch:
+        return batch.filter(pa.array([not _judged(s, k, one_in)[1] for s, k in zip(spans, n)], pa.bool_()))
 
-    return map_chunks(found, run, docs.schema, text_col)
+    return _joined(docs, benchmark, finish, docs.schema, text_col, item_col, item_text_col, width, limit)
