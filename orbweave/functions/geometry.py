@@ -1,11 +1,13 @@
 """Boxes, spheres, triangles and rays as Column expressions.
 
 A geometry is anything with ``bounds()`` and ``hit(ray)``; ``hit`` gives the distance of a hit or null. Users
-add their own by giving these two methods, in Columns.
+add their own by giving these two methods, in Columns. ``hits_in_bounds`` may say that rays only hit it within its
+bounds, which are then tested first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Protocol
 
@@ -30,6 +32,11 @@ class Box:
     def merge(self, other: Box) -> Box:
         return Box(V.least(self.low, other.low), V.greatest(self.high, other.high))
 
+    def padded(self) -> Box:
+        """A little wider than the rounding of FLOAT tests near its size."""
+        size = F.greatest(*(F.abs(c) for c in (*self.low, *self.high))) * F.lit(1e-3).cast("float") + F.lit(1e-6).cast("float")
+        return Box(V.sub(self.low, (size,) * 3), V.add(self.high, (size,) * 3))
+
     def center(self) -> Vec:
         return V.scale(V.add(self.low, self.high), 0.5)
 
@@ -99,6 +106,7 @@ class Triangle:
     a: Vec
     b: Vec
     c: Vec
+    hits_in_bounds = True
 
     def bounds(self) -> Box:
         return Box(V.least(V.least(self.a, self.b), self.c), V.greatest(V.greatest(self.a, self.b), self.c))
@@ -108,17 +116,20 @@ class Triangle:
 
     def hit(self, ray: Ray) -> Column:
         """Ray parameter of the crossing with tmin < t < tmax, in FLOAT but for the quotients; null if there is none."""
-        e1, e2 = V.sub(self.b, self.a), V.sub(self.c, self.a)
-        h = V.cross(ray.direction, e2)
-        det = V.dot(e1, h)
-        ok = (det <= -FLAT) | (det >= FLAT)
-        f = F.try_divide(F.lit(1.0), F.when(ok, det.cast("double")))
-        s = V.sub(ray.origin, self.a)
-        u = f * V.dot(s, h).cast("double")
-        q = V.cross(s, e1)
-        v = f * V.dot(ray.direction, q).cast("double")
-        t = f * V.dot(e2, q).cast("double")
-        return F.when(ok & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t > ray.tmin) & (t < ray.tmax), t)
+        e1, e2, s = V.sub(self.b, self.a), V.sub(self.c, self.a), V.sub(ray.origin, self.a)
+        h, q = V.cross(ray.direction, e2), V.cross(s, e1)
+
+        def inside(m: Column) -> Column:
+            ok = (m["det"] <= -FLAT) | (m["det"] >= FLAT)
+            f = F.try_divide(F.lit(1.0), F.when(ok, m["det"].cast("double")))
+            return _once({"u": f * m["u"].cast("double"), "v": f * m["v"].cast("double"), "t": f * m["t"].cast("double")}, lambda r: F.when(ok & (r["u"] >= 0) & (r["u"] <= 1) & (r["v"] >= 0) & (r["u"] + r["v"] <= 1) & (r["t"] > ray.tmin) & (r["t"] < ray.tmax), r["t"]))
+
+        return _once({"det": V.dot(e1, h), "u": V.dot(s, h), "v": V.dot(ray.direction, q), "t": V.dot(e2, q)}, inside)
+
+
+def _once(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of a struct of values, each of which is worked out once and not again wherever it is used."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in values.items()))), then), F.lit(0))
 
 
 def ray_hits_box(ray: Ray, box: Box) -> Column:

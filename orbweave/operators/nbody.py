@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.operators import octree
-from orbweave.plans.cuts import Cuts
+from orbweave.plans.cuts import Cuts, spread
 
 G = 6.674e-11
 SOFT = 1e-6
@@ -63,7 +63,7 @@ def exact(bodies: DataFrame, g: float = G, formula: str = "softened", block: int
 
     ``formula`` is softened, as everywhere else, or plain: G m m / (d^2 * d + 1e-12) for d > 1e-6.
     """
-    every = _bodies(bodies)
+    every = spread(_bodies(bodies))
     spark, out, held = bodies.sparkSession, None, []
 
     def scan(rows: list) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import vectors as V
 from orbweave.operators.schedule import Schedule
-from orbweave.plans.cuts import Cuts
+from orbweave.plans.cuts import Cuts, spread
 
 #: Points nearer than this (squared) are the query itself where it is excluded.
 SELF = 1e-10
@@ -93,7 +93,7 @@ def _block_scan(sent, k: int, exclude_self: bool):
 
 def knn_blocks(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """Scans the data once per block of queries. The queries' ids are unique."""
-    points, asked = _points(data), _queries(queries)
+    points, asked = spread(_points(data)), _queries(queries)
     spark, out, held = data.sparkSession, None, []
 
     def scan(rows: list) -> DataFrame:

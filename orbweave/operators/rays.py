@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.geometry import Geometry, Ray, Sphere, Triangle
+from orbweave.functions.geometry import Box, Geometry, Ray, Sphere, Triangle, ray_hits_box
 from orbweave.functions.vectors import vec
+from orbweave.plans.cuts import spread
 
 #: Geometries of a block, each of some 50 bytes.
 BLOCK = 100_000
@@ -30,7 +31,7 @@ def triangles() -> Triangle:
 
 def joined(rays: DataFrame, prims: DataFrame, condition: Column, block: int = BLOCK) -> DataFrame:
     """All pairs that meet the condition."""
-    n = prims.count()
+    n, rays = prims.count(), spread(rays)
     parts = [prims] if n <= block else [prims.where(F.pmod(F.xxhash64(*prims.columns), F.lit(-(-2 * n // block))) == i) for i in range(-(-2 * n // block))]
     out = None
     for part in parts:
@@ -41,9 +42,18 @@ def joined(rays: DataFrame, prims: DataFrame, condition: Column, block: int = BL
 
 def trace(rays: DataFrame, prims: DataFrame, geometry: Geometry | Callable[[Ray], Column], prim_id: str = "prim_id", block: int = BLOCK) -> DataFrame:
     """(ray_id, prim_id, t): every hit. ``geometry`` gives hits as distances, null for none."""
+    ray = Ray.columns()
     hit = geometry if callable(geometry) else geometry.hit
-    found = joined(rays, prims, hit(Ray.columns()).isNotNull(), block)
-    return found.select("ray_id", F.col(prim_id).alias("prim_id"), hit(Ray.columns()).alias("t"))
+    if not getattr(geometry, "hits_in_bounds", False):
+        found = joined(rays, prims, hit(ray).isNotNull(), block).withColumn("t", hit(ray))
+    else:
+        # the bounds are columns of the geometries' side, which keeps the condition small; explode keeps the exact test out of it
+        box, names = geometry.bounds().padded(), [f"__{side}_{c}" for side in ("low", "high") for c in "xyz"]
+        sides = [F.col(n) for n in names]
+        boxed = prims.select("*", *(c.alias(n) for c, n in zip((*box.low, *box.high), names)))
+        found = joined(rays, boxed, ray_hits_box(ray, Box(tuple(sides[:3]), tuple(sides[3:]))), block)
+        found = found.withColumn("t", F.explode(F.array(hit(ray)))).where("t is not null")
+    return found.select("ray_id", F.col(prim_id).alias("prim_id"), "t")
 
 
 def any_hit(hits: DataFrame, keep: Column | None = None, terminate: Column | None = None) -> DataFrame:

@@ -38,3 +38,9 @@ class Cuts:
         if path:
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is in fewer partitions than there are cores, dealt to all of them; work per row that is worth a shuffle follows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

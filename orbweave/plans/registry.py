@@ -121,7 +121,9 @@ _SLAB = "ox >= least(ax,bx,cx) AND ox <= greatest(ax,bx,cx) AND oy >= least(ay,b
 @query("ray_aabb", f"WITH {duck('rays', 'triangles')} SELECT ray_id, tri_id FROM rays CROSS JOIN triangles WHERE {_SLAB}")
 def ray_aabb(spark, sf_dir):
     r, t = view(spark, sf_dir, "rays"), view(spark, sf_dir, "triangles")
-    return rays.joined(r, t, ray_hits_box(Ray.columns(), rays.triangles().bounds())).select("ray_id", "tri_id")
+    box = rays.triangles().bounds()
+    boxes = t.select("tri_id", *(c.alias(n) for c, n in zip((*box.low, *box.high), ("lx", "ly", "lz", "hx", "hy", "hz"))))
+    return rays.joined(r, boxes, ray_hits_box(Ray.columns(), Box(V.vec("lx", "ly", "lz"), V.vec("hx", "hy", "hz")))).select("ray_id", "tri_id")
 
 
 def _parts(spark, sf_dir):
