@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import vectors as V
 from orbweave.functions.geometry import Box, Ray, ray_hits_box
-from orbweave.operators import nbody, neighbours, octree, ordering, rays, sampling, validation
+from orbweave.operators import bvh, nbody, neighbours, octree, ordering, rays, sampling, validation
 from orbweave.operators.schedule import Schedule
+from orbweave.plans import programs
 from orbweave.plans.views import asked, duck, view
 from orbweave.session import table
 from orbweave.sources import readers, writers
@@ -184,6 +185,23 @@ def point_in_sphere(spark, sf_dir):
     return rays.trace(view(spark, sf_dir, "rays"), _parts(spark, sf_dir), rays.spheres())
 
 
+@query("trace_program", f"{_TRI}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, prim_id) AS k, count(*) OVER (PARTITION BY ray_id) AS n FROM hits WHERE prim_id % 3 != 0), pushed AS (SELECT ray_id, string_agg(CAST(prim_id AS VARCHAR), ',' ORDER BY k) AS pushed, max(n) AS n FROM ranked WHERE k <= 2 GROUP BY ray_id) SELECT ray_id, pushed, CAST(n AS BIGINT) AS n FROM pushed UNION ALL SELECT ray_id, 'none', 0 FROM rays WHERE ray_id NOT IN (SELECT ray_id FROM hits)")
+def trace_program(spark, sf_dir):
+    program = programs.Trace(rays.triangles(), [programs.Ignore(F.col("prim_id") % 3 == 0), programs.Push(F.col("prim_id").cast("string"), 2)], [programs.Update("pushed", F.array(F.lit("none"))), programs.Update("n", F.lit(0).cast("bigint"))], "tri_id")
+    out = program.run(view(spark, sf_dir, "rays"), view(spark, sf_dir, "triangles"))
+    return out.select("ray_id", F.concat_ws(",", "pushed").alias("pushed"), "n")
+
+
+@query("bounds_by_node", f"WITH {duck('triangles')} SELECT tri_id % 7 AS node, CAST(count(*) AS BIGINT) AS n, min(least(ax,bx,cx)) AS lx, min(least(ay,by_,cy)) AS ly, min(least(az,bz,cz)) AS lz, max(greatest(ax,bx,cx)) AS hx, max(greatest(ay,by_,cy)) AS hy, max(greatest(az,bz,cz)) AS hz FROM triangles GROUP BY ALL")
+def bounds_by_node(spark, sf_dir):
+    return bvh.bounds_by(bvh.boxes(view(spark, sf_dir, "triangles"), rays.triangles(), "tri_id").withColumn("node", F.col("prim_id") % 7), "node")
+
+
+@query("bvh_nodes")
+def bvh_nodes(spark, sf_dir):
+    return bvh.build(bvh.boxes(view(spark, sf_dir, "triangles"), rays.triangles(), "tri_id")).nodes
+
+
 # Morton order
 
 _SPREAD = ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249))
