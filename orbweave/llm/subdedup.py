@@ -1,9 +1,10 @@
 """Substring deduplication: repeated passages are cut out of all documents but the first that has them.
 
-Two kinds of units are looked up. *Sentences* (up to a full stop, question or exclamation mark before white
-space, or a line's end) of at least ``SENTENCE_WORDS`` words match exactly, word by word in lower case; a run of
-sentences that are all kept elsewhere is a repeated passage if it has ``RUN_WORDS`` words or more, shorter
-sentences between them included. So a passage is found within a line, too. *Paragraphs* (lines) of at least
+Two kinds of units are looked up. *Pieces* of sentences of at least ``LOOKED_UP`` words match exactly, word by word in
+lower case. A piece ends with its sentence (a full stop, question or exclamation mark before white space, or a line's
+end), and after two words whose hash is a multiple of ``PIECE_WORDS``, but takes in what would be shorter pieces after
+it. So equal passages fall into equal pieces wherever they begin, within a line, too. A run of pieces that are all kept
+elsewhere is a repeated passage if it has ``RUN_WORDS`` words or more. *Paragraphs* (lines) of at least
 ``RUN_WORDS`` words also match nearly: MinHash signatures over shingles of five words are cut into bands, bands
 with several paragraphs are verified by exact Jaccard similarity, and the links' components are removed but
 for the first document's paragraph.
@@ -14,12 +15,14 @@ are compared in blocks of ``BLOCK``, all pairs of blocks, so no group of any siz
 task returns a spanning forest of its links.
 
 The first document is the one with the least id. Of a document's own repeats the first stays. Rows with equal
-ids count as one document. Null ids are never changed and keep nothing. Null texts stay null, empty ones empty.
+ids count as one document whose every text keeps what it has first. Null ids are never changed and keep nothing. Null texts stay null, empty ones empty.
 Other columns are returned unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +33,9 @@ from orbweave.llm.common import Cuts, chunks, map_chunks, text_bytes
 from orbweave.llm.components import components
 from orbweave.llm.simhash import _Forest
 
-SENTENCE_WORDS = 5
-RUN_WORDS = 30
+LOOKED_UP = 4
+PIECE_WORDS = 8
+RUN_WORDS = 25
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 2
@@ -63,7 +67,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """Sentences and lines of many texts at once. Texts are joined by newlines, so each ends with one of its own."""
+    """Pieces of sentences and lines of many texts at once. Texts are joined by newlines, so each ends with one of its own."""
 
     def __init__(self, texts: list[bytes]):
         self.data = data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -78,13 +82,35 @@ class Units:
         stop[-1] = False
         size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.text_start = np.concatenate(([0], np.cumsum(size)))
-        self.line = self._cut(newline, n)
-        self.sentence = self._cut(newline | stop, n)
+        self.line = np.concatenate(([0], np.flatnonzero(newline) + 1))
+        self._ends = newline | stop
 
-    @staticmethod
-    def _cut(end: np.ndarray, n: int) -> np.ndarray:
-        """Begins of the stretches up to and with each end, and the end of all."""
-        return np.concatenate(([0], np.flatnonzero(end) + 1))
+    @cached_property
+    def word_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all words, and where they begin and end."""
+        at = np.flatnonzero(self.word)
+        first = np.flatnonzero(self.begin[at])
+        if not len(first):
+            return np.zeros(0, np.uint64), first, first
+        size = np.diff(np.append(first, len(at)))
+        place = np.arange(len(at)) - np.repeat(first, size)
+        h = _mix(np.add.reduceat(_BYTE[self.folded[at]] * _powers(int(place.max()) + 1)[place], first))
+        return h, at[first], at[first] + size
+
+    @cached_property
+    def piece(self) -> np.ndarray:
+        """Begins of the pieces, and the end of all. Of two words, their hash says whether a piece ends with them; what is too short goes on."""
+        h, begins, ends = self.word_hashes
+        cut = self._ends
+        if len(h) > 1:
+            same_line = np.searchsorted(self.line, begins[1:], side="right") == np.searchsorted(self.line, begins[:-1], side="right")
+            chosen = _mix(h[:-1] * _WORD_STEP + h[1:]) % np.uint64(PIECE_WORDS) == 0
+            cut = cut.copy()
+            cut[ends[1:][same_line & chosen] - 1] = True
+        raw = np.concatenate(([0], np.flatnonzero(cut) + 1))
+        kept = np.isin(raw, self.text_start)
+        kept[:-1] |= self.words(raw) >= LOOKED_UP
+        return raw[kept]
 
     def words(self, cut: np.ndarray) -> np.ndarray:
         return np.add.reduceat(self.begin, cut[:-1], dtype=np.int64) if len(cut) > 1 else np.zeros(0, np.int64)
@@ -110,11 +136,7 @@ class Units:
 
     def shingles(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the shingles of the given lines, one line after another, and where each line's begin. The lines have SHINGLE words or more."""
-        at = np.flatnonzero(self.word)
-        first = np.flatnonzero(self.begin[at])
-        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-        word = _mix(np.add.reduceat(_BYTE[self.folded[at]] * _powers(int(place.max()) + 1)[place], first))
-        begins = at[first]
+        word, begins, _ = self.word_hashes
         low, high = np.searchsorted(begins, self.line[lines]), np.searchsorted(begins, self.line[lines + 1])
         n = high - low - SHINGLE + 1
         start = np.concatenate(([0], np.cumsum(n)))
@@ -171,9 +193,9 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _looked_up(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and number of each unit that is looked up: sentences by their number, paragraphs by -1 less theirs."""
+    """Hash, text and number of each unit that is looked up: pieces by their number, paragraphs by -1 less theirs."""
     out = []
-    for cut, least, salt in ((units.sentence, SENTENCE_WORDS, 0), (units.line, RUN_WORDS, 0x5DEECE66D)):
+    for cut, least, salt in ((units.piece, LOOKED_UP, 0), (units.line, RUN_WORDS, 0x5DEECE66D)):
         chosen = np.flatnonzero(units.words(cut) >= least)
         text, number = units.owners(cut)
         h = units.hashes(cut)[chosen] ^ np.uint64(salt)
@@ -182,7 +204,7 @@ def _looked_up(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _occurrences(docs: DataFrame, id_type: str, only: object | None = None) -> DataFrame:
-    """(h, id) of each unit; with ``only``, a broadcast filter of hashes, (h, id, number, again) of what passes it; again: it was in the text before."""
+    """(h, id) of each unit; with ``only``, a broadcast filter of hashes, (h, id, again) of what passes it; again: it was in the text before."""
 
     def run(batches):
         for batch in batches:
@@ -196,9 +218,9 @@ def _occurrences(docs: DataFrame, id_type: str, only: object | None = None) -> D
                 order = np.lexsort((np.abs(number), h, text))
                 again = np.zeros(len(h), bool)
                 again[order[1:]] = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
-                yield pa.RecordBatch.from_arrays([_long(h), part.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(again)], ["h", "id", "number", "again"])
+                yield pa.RecordBatch.from_arrays([_long(h), part.column(0).take(pa.array(text)), pa.array(again)], ["h", "id", "again"])
 
-    return docs.mapInArrow(run, f"h long, id {id_type}" + ("" if only is None else ", number int, again boolean"))
+    return docs.mapInArrow(run, f"h long, id {id_type}" + ("" if only is None else ", again boolean"))
 
 
 def _bands(docs: DataFrame, only: object | None = None) -> DataFrame:
@@ -273,7 +295,7 @@ def _links(members: DataFrame, cuts: Cuts, least: float) -> DataFrame:
 
 
 def repeated(df: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(id, numbers): the units of each document that are kept elsewhere, in no order; see ``_looked_up`` for their numbers."""
+    """(id, elsewhere, again): hashes of the units of each document that are kept in another one, and of those that it has more than once and keeps."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
@@ -292,13 +314,25 @@ def repeated(df: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str =
     n = known.count()
     passing = _occurrences(docs, kind, spark.sparkContext.broadcast(Bits.build(known, "h", max(1, n))))
     gone = passing.join(known, "h").where("id != first or again")
-    return gone.groupBy("id").agg(F.collect_set("number").alias("numbers"))
+    other = F.col("id") != F.col("first")
+    return gone.groupBy("id").agg(F.collect_set(F.when(other, F.col("h"))).alias("elsewhere"), F.collect_set(F.when(~other, F.col("h"))).alias("again"))
+
+
+def numbers_to_cut(text: bytes, elsewhere: set[int], again: set[int]) -> list[int]:
+    """The numbers of a text's units that go: all that are kept elsewhere, and all but the first of those it repeats."""
+    h, _, number = _looked_up(Units([text]))
+    seen, out = set(), []
+    for x, n in zip(h.view(np.int64).tolist(), number.tolist()):
+        if x in elsewhere or x in again and x in seen:
+            out.append(n)
+        seen.add(x)
+    return out
 
 
 def spans_to_cut(text: bytes, numbers: list[int]) -> list[tuple[int, int]]:
     """Stretches of bytes that the numbered units make up, as far as they are long enough."""
     units = Units([text])
-    words, cut = units.words(units.sentence), units.sentence
+    words, cut = units.words(units.piece), units.piece
     marked = np.zeros(len(words), bool)
     marked[[x for x in numbers if 0 <= x < len(words)]] = True
     out = [(int(units.line[-1 - x]), int(units.line[-x])) for x in numbers if x < 0 and -x < len(units.line)]
@@ -312,7 +346,7 @@ def spans_to_cut(text: bytes, numbers: list[int]) -> list[tuple[int, int]]:
     for i in range(len(words)):
         if marked[i]:
             run.append(i)
-        elif words[i] >= SENTENCE_WORDS:
+        else:
             close()
     close()
     joined: list[tuple[int, int]] = []
@@ -327,18 +361,19 @@ def spans_to_cut(text: bytes, numbers: list[int]) -> list[tuple[int, int]]:
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``df`` with the passages cut out of the texts, and with ``cut_spans``: begins and ends, in turn, of what was cut, in bytes of the old text."""
     cuts = Cuts(df.sparkSession)
-    gone = cuts.cut(repeated(df, cuts, id_col, text_col, least)).select(F.col("id").alias("__id"), F.col("numbers").alias("__numbers"))
+    gone = cuts.cut(repeated(df, cuts, id_col, text_col, least)).select(F.col("id").alias("__id"), "elsewhere", "again")
+    gone = gone.select("__id", F.col("elsewhere").alias("__elsewhere"), F.col("again").alias("__again"))
     names = df.columns
-    joined = df.join(gone, df[id_col] == gone["__id"], "left").select(*(df[c] for c in names), "__numbers")
+    joined = df.join(gone, df[id_col] == gone["__id"], "left").select(*(df[c] for c in names), "__elsewhere", "__again")
     at = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, spans = batch.column(at).to_pylist(), []
-        for i, numbers in enumerate(batch.column(len(names)).to_pylist()):
+        for i, (elsewhere, again) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
             cut = []
-            if numbers and texts[i] is not None:
+            if (elsewhere or again) and texts[i] is not None:
                 data = texts[i].encode()
-                cut = spans_to_cut(data, numbers)
+                cut = spans_to_cut(data, numbers_to_cut(data, set(elsewhere), set(again)))
                 if cut:
                     edges = [0, *(x for s in cut for x in s), len(data)]
                     texts[i] = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
