@@ -10,8 +10,6 @@ ids beforehand, as no more can be among the k nearest, so a place with very many
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window

@@ -197,7 +197,22 @@ def bounds_by_node(spark, sf_dir):
     return bvh.bounds_by(bvh.boxes(view(spark, sf_dir, "triangles"), rays.triangles(), "tri_id").withColumn("node", F.col("prim_id") % 7), "node")
 
 
-@query("bvh_nodes")
+def _bvh_sql(levels: int, leaf: int) -> str:
+    """The levels written out; a level without nodes costs nothing."""
+    box = ", ".join(f"min(l{c}) AS l{c}" for c in "xyz") + ", " + ", ".join(f"max(h{c}) AS h{c}" for c in "xyz")
+    axis = "CASE WHEN hz-lz > hy-ly AND hz-lz > hx-lx THEN 'z' WHEN hy-ly > hx-lx THEN 'y' ELSE 'x' END"
+    middle = lambda p: f"(CASE m.axis WHEN 'z' THEN {p}.lz+{p}.hz WHEN 'y' THEN {p}.ly+{p}.hy ELSE {p}.lx+{p}.hx END)*CAST(0.5 AS FLOAT)"
+    out = [f"WITH {duck('triangles')}, p0 AS (SELECT tri_id, '' AS key, {', '.join(f'least(a{c}, b{c if c != "y" else "y_"}, c{c}) AS l{c}, greatest(a{c}, b{c if c != "y" else "y_"}, c{c}) AS h{c}' for c in 'xyz')} FROM triangles)"]
+    for i in range(levels):
+        out.append(f"m{i} AS (SELECT *, {axis} AS axis FROM (SELECT key, count(*) AS n, {box} FROM p{i} GROUP BY key))")
+        out.append(f"t{i} AS (SELECT p.*, {middle('p')} < {middle('m')} AS lft FROM p{i} p JOIN m{i} m ON p.key = m.key)")
+        out.append(f"e{i} AS (SELECT key, sum(CAST(lft AS BIGINT)) AS lefts FROM t{i} GROUP BY key)")
+        out.append(f"n{i} AS (SELECT m.key, CAST({i} AS INT) AS level, CAST(n AS BIGINT) AS n, lx, ly, lz, hx, hy, hz, n <= {leaf} OR lefts = 0 OR lefts = n AS is_leaf FROM m{i} m JOIN e{i} e ON m.key = e.key)")
+        out.append(f"p{i + 1} AS (SELECT tri_id, t.key || CASE WHEN lft THEN '0' ELSE '1' END AS key, {', '.join(f't.{s}{c}' for s in 'lh' for c in 'xyz')} FROM t{i} t JOIN n{i} n ON t.key = n.key WHERE NOT n.is_leaf)")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(levels))
+
+
+@query("bvh_nodes", _bvh_sql(16, 2))
 def bvh_nodes(spark, sf_dir):
     return bvh.build(bvh.boxes(view(spark, sf_dir, "triangles"), rays.triangles(), "tri_id")).nodes
 
@@ -426,7 +441,21 @@ def barnes_hut_theta0(spark, sf_dir):
     return _rounded(nbody.barnes_hut(view(spark, sf_dir, "bodies_cust"), 0.0, 1.0))
 
 
-@query("barnes_hut")
+def _barnes_hut_sql(levels: int, leaf: int, theta: float) -> str:
+    """The frontier's levels written out over those of the tree."""
+    pull = lambda m, *d: ", ".join(f"CASE WHEN d2 > 1e-10 THEN mass*{m}*d{c}/(d2*sqrt(d2+1e-6)) ELSE 0 END AS f{c}" for c in "xyz")
+    gap = lambda x, y, z: f"{x}-s.x AS dx, {y}-s.y AS dy, {z}-s.z AS dz, (({x}-s.x)*({x}-s.x)+({y}-s.y)*({y}-s.y))+({z}-s.z)*({z}-s.z) AS d2"
+    out = [_octree_sql(levels, leaf), "f0 AS (SELECT id, x, y, z, mass, '' AS key FROM bodies_cust)"]
+    for i in range(levels):
+        out.append(f"s{i} AS (SELECT f.*, n.is_leaf, n.mass AS cm, n.sx/n.mass AS px, n.sy/n.mass AS py, n.sz/n.mass AS pz, NOT n.is_leaf AND n.width <= greatest(1e-6, {theta}*sqrt((n.sx/n.mass-x)*(n.sx/n.mass-x)+(n.sy/n.mass-y)*(n.sy/n.mass-y)+(n.sz/n.mass-z)*(n.sz/n.mass-z)))+1e-5 AS far FROM f{i} f JOIN n{i} n ON f.key = n.key)")
+        out.append(f"g{i} AS (SELECT s.id, s.mass, o.mass AS om, {gap('o.x', 'o.y', 'o.z')} FROM s{i} s JOIN b{i} o ON s.key = o.key WHERE s.is_leaf UNION ALL SELECT s.id, s.mass, s.cm, {gap('s.px', 's.py', 's.pz')} FROM s{i} s WHERE s.far)")
+        if i + 1 < levels:
+            out.append(f"f{i + 1} AS (SELECT s.id, s.x, s.y, s.z, s.mass, n.key FROM s{i} s JOIN n{i + 1} n ON s.key = left(n.key, {i}) WHERE NOT s.is_leaf AND NOT s.far)")
+    out.append("pulls AS (" + " UNION ALL ".join(f"SELECT id, {pull('om')} FROM g{i}" for i in range(levels)) + ")")
+    return ", ".join(out) + " SELECT id, round(sum(fx), 6)+0e0 AS fx, round(sum(fy), 6)+0e0 AS fy, round(sum(fz), 6)+0e0 AS fz FROM pulls GROUP BY id"
+
+
+@query("barnes_hut", _barnes_hut_sql(9, 32, 0.5))
 def barnes_hut(spark, sf_dir):
     return _rounded(nbody.barnes_hut(view(spark, sf_dir, "bodies_cust"), 0.5, 1.0, 32))
 
