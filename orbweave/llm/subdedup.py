@@ -239,6 +239,7 @@ def _bands(docs: DataFrame, only: object | None = None) -> DataFrame:
                 lines, h = lines[order], h[order]
                 shingles, start = units.shingles(lines)
                 least = [np.minimum.reduceat(_mix(shingles * a), start[:-1]) for a in _ROW]
+                sets: dict[int, bytes] = {}
                 for b in range(BANDS):
                     k = np.full(len(lines), b + 1, np.uint64)
                     for r in range(ROWS):
@@ -247,8 +248,10 @@ def _bands(docs: DataFrame, only: object | None = None) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([_long(k), _long(h)], ["k", "h"])
                     else:
                         pick = np.flatnonzero(only.value(k))
-                        sets = [np.unique(shingles[start[i] : start[i + 1]]).tobytes() for i in pick]
-                        yield pa.RecordBatch.from_arrays([_long(k[pick]), _long(h[pick]), pa.array(sets, pa.binary())], ["k", "h", "shingles"])
+                        for i in pick.tolist():
+                            if i not in sets:
+                                sets[i] = np.unique(shingles[start[i] : start[i + 1]]).tobytes()
+                        yield pa.RecordBatch.from_arrays([_long(k[pick]), _long(h[pick]), pa.array([sets[i] for i in pick.tolist()], pa.binary())], ["k", "h", "shingles"])
 
     return docs.mapInArrow(run, "k long, h long" + ("" if only is None else ", shingles binary"))
 
@@ -280,18 +283,48 @@ def _links(members: DataFrame, cuts: Cuts, least: float) -> DataFrame:
     spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("k", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "h", "shingles")
 
-    def verify(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        own, h = table.column("own").to_numpy(), table.column("h").to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = similar_pairs([sets[x] for x in left], [sets[x] for x in right], least)
-        forest = _Forest(len(h))
-        forest.add(left[a], right[b])
-        moved = np.flatnonzero(forest.root != np.arange(len(h)))
-        return pa.table([pa.array(h[moved]), pa.array(h[forest.root[moved]])], names=["a", "b"])
-
-    return spread.groupBy("k", "i", "j").applyInArrow(verify, "a long, b long")
+    def verify(batches):
+        """Group after group of sorted rows; a group has two blocks' rows at most."""
+        held, rows, a, b = None, [], [], []
+        for batch in batches:
+            k, i, j, own, h = (batch.column(x).to_pylist() for x in range(5))
+            for key, mine, node, shingles in zip(zip(k, i, j), own, h, batch.column(5).to_pylist()):
+                if key != held:
+                    _verified(held, rows, least, a, b)
+                    held, rows = key, []
+                rows.append((mine, node, shingles))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+        _verified(held, rows, least, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = spread.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return dealt.mapInArrow(verify, "a long, b long")
+
+
+def _verified(key: tuple | None, rows: list[tuple[int, int, bytes]], least: float, out_a: list[int], out_b: list[int]) -> None:
+    """Adds a spanning forest of the links between the rows of block i and those of block j, or within the block if they are one."""
+    if len(rows) < 2:
+        return
+    sets = [np.frombuffer(s, np.uint64) for _, _, s in rows]
+    if len(rows) == 2:
+        x, y = sets
+        small, large = sorted((len(x), len(y)))
+        # a pair in one group is of both its blocks; sizes alone may rule it out
+        if small >= least * large - 1e-6:
+            common = small + large - len(np.unique(np.concatenate((x, y))))
+            if common >= least * (small + large - common) - 1e-6:
+                out_a.append(rows[0][1])
+                out_b.append(rows[1][1])
+        return
+    left = [n for n, r in enumerate(rows) if r[0] == key[1]]
+    right = [n for n, r in enumerate(rows) if r[0] == key[2]]
+    a, b = similar_pairs([sets[n] for n in left], [sets[n] for n in right], least)
+    forest = _Forest(len(rows))
+    forest.add(np.array(left, np.int64)[a], np.array(right, np.int64)[b])
+    for n in np.flatnonzero(forest.root != np.arange(len(rows))).tolist():
+        out_a.append(rows[n][1])
+        out_b.append(rows[int(forest.root[n])][1])
 
 
 def repeated(df: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
