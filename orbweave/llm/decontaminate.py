@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,17 +96,17 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_BYTES) -> list[list[tuple[str | None, list[bytes]]]]:
-    """The benchmark's items in blocks of about ``limit`` bytes; an item is never divided."""
-    out, size = [[]], 0
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The benchmark's items in blocks of about ``limit`` bytes, one after another; an item is never divided. At least one block."""
+    held, size = [], 0
     for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
         data = bytes(text or b"")
-        if out[-1] and size + len(data) > limit:
-            out.append([])
-            size = 0
-        out[-1].append((item, words_of(data)))
+        if held and size + len(data) > limit:
+            yield held
+            held, size = [], 0
+        held.append((item, words_of(data)))
         size += len(data)
-    return out
+    yield held
 
 
 def _judged(spans: list[int], n_words: int, one_in: int) -> tuple[int, bool]:
@@ -117,14 +118,14 @@ def _joined(docs: DataFrame, benchmark: DataFrame, finish, schema, text_col: str
     """One pass over the documents per block. The last one's matches go to ``finish(batch, words, spans, items, n_items)``, which makes the result."""
     spark, names = docs.sparkSession, docs.columns
     at, n = names.index(text_col), len(names)
-    all_blocks = blocks(benchmark, item_col, item_text_col, limit)
-    cuts = Cuts(spark) if len(all_blocks) > 1 else None
-    out = docs
-    for b, items in enumerate(all_blocks):
+    coming = blocks(benchmark, item_col, item_text_col, limit)
+    cuts, out, items, first = Cuts(spark), docs, next(coming), True
+    while True:
+        after = next(coming, None)
         index = WindowIndex(items, count_words(docs, {w for _, words in items for w in words}, text_col), width)
         sent = spark.sparkContext.broadcast((index, [i for i, _ in items]))
 
-        def run(batch: pa.RecordBatch, sent=sent, first=b == 0, last=b == len(all_blocks) - 1) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, sent=sent, first=first, last=after is None) -> pa.RecordBatch:
             index, ids = sent.value
             own = pa.RecordBatch.from_arrays(batch.columns[:n], names)
             before = [([], [], 0)] * batch.num_rows if first else list(zip(*(batch.column(j).to_pylist() for j in (n, n + 1, n + 2))))
@@ -141,82 +142,10 @@ def _joined(docs: DataFrame, benchmark: DataFrame, finish, schema, text_col: str
             added = [pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(number, pa.int32())]
             return pa.RecordBatch.from_arrays([*own.columns, *added], [*names, "__spans", "__items", "__n_items"])
 
-        if b == len(all_blocks) - 1:
+        if after is None:
             return map_chunks(out, run, schema, text_col)
         wider = T.StructType([*docs.schema.fields, T.StructField("__spans", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n_items", T.IntegerType())])
-        out = cuts.cut(map_chunks(out, run, wider, text_col))
-
-
-def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans of words inside occurrences, and the items that occur."""
-        spans, found, places, n = [], set(), self.places, len(words)
-        for i in [i for i, w in enumerate(words) if w in places]:
-            for offset, size in places[words[i]]:
-                begin = i - offset
-                if begin < 0 or begin + size > n:
-                    continue
-                items = self.windows.get(tuple(words[begin : begin + size]))
-                if items is not None:
-                    spans.append((begin, begin + size))
-                    found |= items
-        return spans, found
-
-
-def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_BYTES) -> list[list[tuple[str | None, list[bytes]]]]:
-    """The benchmark's items in blocks of about ``limit`` bytes; an item is never divided."""
-    out, size = [[]], 0
-    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
-        data = bytes(text or b"")
-        if out[-1] and size + len(data) > limit:
-            out.append([])
-            size = 0
-        out[-1].append((item, words_of(data)))
-        size += len(data)
-    return out
-
-
-def _matched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, limit: int) -> DataFrame:
-    """``docs`` with ``__spans`` (flat begins and ends) and ``__items`` of all blocks."""
-    out = docs.withColumns({"__spans": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>"), "__n_items": F.lit(0)})
-    all_blocks = blocks(benchmark, item_col, item_text_col, limit)
-    cuts = Cuts(docs.sparkSession) if len(all_blocks) > 1 else None
-    for items in all_blocks:
-        index = WindowIndex(items, count_words(docs, {w for _, words in items for w in words}, text_col), width)
-        sent = docs.sparkSession.sparkContext.broadcast((index, [i for i, _ in items]))
-        at = out.columns.index(text_col)
-
-        def run(batch: pa.RecordBatch, sent=sent, at=at) -> pa.RecordBatch:
-            index, names = sent.value
-            n = batch.num_columns
-            spans, found, number = [], [], []
-            for text, old, items, k in zip(text_bytes(batch.column(at)), *(batch.column(j).to_pylist() for j in (n - 3, n - 2, n - 1))):
-                now, hit = index.match(words_of(text))
-                old = old or []
-                joined = _covered(now + list(zip(old[::2], old[1::2])))
-                spans.append([x for s in joined for x in s])
-                found.append((items or []) + [names[k] for k in hit if names[k] is not None])
-                number.append(k + len(hit))
-            return pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(number, pa.int32())], batch.schema.names)
-
-        out = map_chunks(out, run, out.schema, text_col)
-        if cuts:
-            out = cuts.cut(out)
-    return out
-
-
-def _judged(spans: list[int], n_words: int, one_in: int) -> tuple[int, bool]:
-    hit = sum(spans[1::2]) - sum(spans[::2])
-    return hit, hit > 0 and one_in * hit >= n_words
+        out, items, first = cuts.cut(map_chunks(out, run, wider, text_col)), after, False
 
 
 def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, one_in: int = ONE_IN, limit: int = BLOCK_BYTES) -> DataFrame:

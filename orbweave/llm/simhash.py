@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import Cuts, map_chunks, text_bytes
@@ -33,8 +33,9 @@ SHINGLE = 3
 RADIUS = 3
 #: Distinct fingerprints that a shard should hold.
 SHARD = 32_768
-#: Sampled fingerprints per shard that the tree's points and distances are fitted to.
-SAMPLE_PER_SHARD = 128
+#: Sampled fingerprints per shard that the tree's points and distances are fitted to: so many, fewer if they would be
+#: more than SAMPLE in all, but LEAST_SAMPLE at least.
+SAMPLE_PER_SHARD, SAMPLE, LEAST_SAMPLE = 128, 1 << 20, 16
 #: A block of at most so many residents isn't split further.
 BLOCK = 128
 #: Comparisons made at once.
@@ -181,7 +182,7 @@ def link_shard(residents: np.ndarray, queries: np.ndarray, radius: int) -> tuple
 def link(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) that connect what is linked, from ``n`` distinct fingerprints in the column ``fp``."""
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))))
-    want = SAMPLE_PER_SHARD << depth
+    want = max(LEAST_SAMPLE << depth, min(SAMPLE_PER_SHARD << depth, SAMPLE))
     share = min(1.0, 2 * want / max(1, n))
     # a fingerprint's own hash decides, and only distinct ones are here, so the sample's size is near 2 * want
     chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("fp") if depth else distinct.select("fp").limit(0)
