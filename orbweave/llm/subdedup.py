@@ -351,39 +351,18 @@ def repeated(df: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str =
     return gone.groupBy("id").agg(F.collect_set(F.when(other, F.col("h"))).alias("elsewhere"), F.collect_set(F.when(~other, F.col("h"))).alias("again"))
 
 
-def numbers_to_cut(text: bytes, elsewhere: set[int], again: set[int]) -> list[int]:
-    """The numbers of a text's units that go: all that are kept elsewhere, and all but the first of those it repeats."""
-    h, _, number = _looked_up(Units([text]))
-    seen, out = set(), []
-    for x, n in zip(h.view(np.int64).tolist(), number.tolist()):
-        if x in elsewhere or x in again and x in seen:
-            out.append(n)
-        seen.add(x)
-    return out
-
-
-def spans_to_cut(text: bytes, numbers: list[int]) -> list[tuple[int, int]]:
-    """Stretches of bytes that the numbered units make up, as far as they are long enough."""
-    units = Units([text])
-    words, cut = units.words(units.piece), units.piece
-    marked = np.zeros(len(words), bool)
-    marked[[x for x in numbers if 0 <= x < len(words)]] = True
-    out = [(int(units.line[-1 - x]), int(units.line[-x])) for x in numbers if x < 0 and -x < len(units.line)]
-    run: list[int] = []
-
-    def close() -> None:
-        if run and words[run[0] : run[-1] + 1].sum() >= RUN_WORDS:
-            out.append((int(cut[run[0]]), int(cut[run[-1] + 1])))
-        run.clear()
-
-    for i in range(len(words)):
-        if marked[i]:
-            run.append(i)
-        else:
-            close()
-    close()
+def _spans(units: Units, words: np.ndarray, text: int, pieces: tuple[int, int], lines: tuple[int, int], numbers: list[int]) -> list[tuple[int, int]]:
+    """Stretches of bytes of one of the texts that its numbered units make up, as far as they are long enough. ``pieces`` and ``lines`` say which are the text's."""
+    begin, end = int(units.text_start[text]), int(units.text_start[text + 1]) - 1
+    marked = np.zeros(pieces[1] - pieces[0], bool)
+    marked[[x for x in numbers if x >= 0]] = True
+    out = [(int(units.line[lines[0] - 1 - x]), int(units.line[lines[0] - x])) for x in numbers if x < 0]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], marked, [0]))))
+    for i, j in zip((edges[::2] + pieces[0]).tolist(), (edges[1::2] + pieces[0]).tolist()):
+        if words[i:j].sum() >= RUN_WORDS:
+            out.append((int(units.piece[i]), int(units.piece[j])))
     joined: list[tuple[int, int]] = []
-    for a, b in sorted((a, min(b, len(text))) for a, b in out):
+    for a, b in sorted((a - begin, min(b, end) - begin) for a, b in out):
         if joined and a <= joined[-1][1]:
             joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
         elif b > a:
@@ -391,6 +370,39 @@ def spans_to_cut(text: bytes, numbers: list[int]) -> list[tuple[int, int]]:
     return joined
 
 
+def spans_to_cut(texts: list[bytes], chosen) -> list[list[tuple[int, int]]]:
+    """What goes of each text. ``chosen(text, units)`` takes a text's number and its units as (hash, number), in order, and gives the numbers of those that go."""
+    if not texts:
+        return []
+    units = Units(texts)
+    h, text, number = _looked_up(units)
+    h, number, words = h.view(np.int64).tolist(), number.tolist(), units.words(units.piece)
+    found: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for k, t in enumerate(text.tolist()):
+        found[t].append((h[k], number[k]))
+    first_piece = np.searchsorted(units.piece[:-1], units.text_start).tolist()
+    first_line = np.searchsorted(units.line[:-1], units.text_start).tolist()
+    out = []
+    for t, own in enumerate(found):
+        numbers = chosen(t, own)
+        out.append(_spans(units, words, t, (first_piece[t], first_piece[t + 1]), (first_line[t], first_line[t + 1]), numbers) if numbers else [])
+    return out
+
+
+def _choice(elsewhere: list[list[int] | None], again: list[list[int] | None]):
+    """All units that are kept elsewhere, and all but the first of those that a text repeats."""
+
+    def chosen(text: int, units: list[tuple[int, int]]) -> list[int]:
+        gone, repeats, seen, out = set(elsewhere[text] or ()), set(again[text] or ()), set(), []
+        for h, n in units:
+            if h in gone or h in repeats and h in seen:
+                out.append(n)
+            seen.add(h)
+        return out
+
+    return chosen
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``df`` with the passages cut out of the texts, and with ``cut_spans``: begins and ends, in turn, of what was cut, in bytes of the old text."""
     cuts = Cuts(df.sparkSession)
@@ -401,16 +413,16 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     at = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = batch.column(at).to_pylist(), []
-        for i, (elsewhere, again) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
-            cut = []
-            if (elsewhere or again) and texts[i] is not None:
-                data = texts[i].encode()
-                cut = spans_to_cut(data, numbers_to_cut(data, set(elsewhere), set(again)))
-                if cut:
-                    edges = [0, *(x for s in cut for x in s), len(data)]
-                    texts[i] = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
-            spans.append([x for s in cut for x in s])
+        texts = batch.column(at).to_pylist()
+        elsewhere, again = (batch.column(len(names) + i).to_pylist() for i in (0, 1))
+        rows = [i for i, t in enumerate(texts) if t is not None and (elsewhere[i] or again[i])]
+        spans: list[list[int]] = [[] for _ in texts]
+        data = [texts[i].encode() for i in rows]
+        for i, old, cut in zip(rows, data, spans_to_cut(data, _choice([elsewhere[i] for i in rows], [again[i] for i in rows]))):
+            if cut:
+                edges = [0, *(x for s in cut for x in s), len(old)]
+                texts[i] = b"".join(old[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
+                spans[i] = edges[1:-1]
         columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.int32()))], [*names, "cut_spans"])
 

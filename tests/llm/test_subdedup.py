@@ -81,7 +81,7 @@ def brute(docs):
             if count[unit] > 1 and (first[unit] != i or unit in seen):
                 numbers.append(n)
             seen.add(unit)
-        spans = S.spans_to_cut((text or "").encode(), numbers) if numbers else []
+        spans = S.spans_to_cut([(text or "").encode()], lambda t, own, n=numbers: n)[0] if numbers else []
         edges = [0, *(x for s in spans for x in s), len((text or "").encode())]
         yield i, None if text is None else b"".join((text.encode())[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
 
