@@ -6,15 +6,25 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.plans.cuts import Cuts
 
-__all__ = ["Cuts", "chunks", "held_out", "map_chunks", "text_bytes"]
+__all__ = ["Cuts", "chunks", "held_out", "map_chunks", "small_batches", "text_bytes"]
 
 #: Bytes of text that a Python function gets at once.
 CHUNK_BYTES = 2 << 20
+#: Rows of a batch that the JVM hands to Python; a whole one is in memory several times, on both sides.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of a batch to ``BATCH_ROWS`` if they are more, as rows with texts may be long."""
+    rows = int(spark.conf.get(_ROWS, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,6 +48,7 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
             for part in chunks(batch, column):
                 yield fn(part)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

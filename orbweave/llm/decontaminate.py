@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import Cuts, chunks, map_chunks, text_bytes
+from orbweave.llm.common import Cuts, chunks, map_chunks, small_batches, text_bytes
 
 WIDTH = 13
 #: A document is contaminated from one hit word in so many on.
@@ -51,6 +51,7 @@ def count_words(docs: DataFrame, wanted: set[bytes], text_col: str = "text") ->
                     seen.update(filter(wanted.__contains__, words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
+    small_batches(docs.sparkSession)
     counts = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in counts.collect()}
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import Cuts, chunks, map_chunks, text_bytes
+from orbweave.llm.common import Cuts, chunks, map_chunks, small_batches, text_bytes
 from orbweave.llm.components import components
 from orbweave.llm.simhash import _Forest
 
@@ -330,6 +330,7 @@ def _verified(key: tuple | None, rows: list[tuple[int, int, bytes]], least: floa
 def repeated(df: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, elsewhere, again): hashes of the units of each document that are kept in another one, and of those that it has more than once and keeps."""
     spark = df.sparkSession
+    small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     keys = cuts.cut(_bands(docs).groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("k"))
