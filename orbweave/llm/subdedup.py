@@ -14,6 +14,11 @@ for the first document's paragraph.
 are compared in blocks of ``BLOCK``, all pairs of blocks, so no group of any size meets in a task, and each
 task returns a spanning forest of its links.
 
+What these two leave is searched for every stretch of ``WINDOW`` words that several documents still share, wherever it
+begins and however its sentences and lines are cut. Of each ``WINDOW`` words the least hash of ``ANCHOR`` words in a row
+is an anchor, so equal stretches have equal anchors; where an anchor is in several documents, all windows around it
+are compared, and those that an earlier document has are cut, word by word.
+
 The first document is the one with the least id. Of a document's own repeats the first stays. Rows with equal
 ids count as one document whose every text keeps what it has first. Null ids are never changed and keep nothing. Null texts stay null, empty ones empty.
 Other columns are returned unchanged; an empty table gives no rows.
@@ -36,6 +41,8 @@ from orbweave.llm.simhash import _Forest
 LOOKED_UP = 4
 PIECE_WORDS = 8
 RUN_WORDS = 25
+#: Words of a stretch that no two documents keep, and of the anchors in it.
+WINDOW, ANCHOR = 50, 25
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 6, 2
@@ -184,6 +191,30 @@ class Bits:
         return cls(words)
 
 
+def _window_hashes(word: np.ndarray, size: int) -> np.ndarray:
+    """Of each ``size`` words in a row."""
+    out = np.zeros(max(0, len(word) - size + 1), np.uint64)
+    for j in range(size):
+        out *= _WORD_STEP
+        out += word[j : j + len(out)]
+    return _mix(out)
+
+
+def _windows(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all windows within a text, the words that they begin with, and their texts."""
+    word, begins, _ = units.word_hashes
+    text = np.searchsorted(units.text_start, begins, side="right") - 1
+    if len(word) < WINDOW:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, have, want = _window_hashes(word, ANCHOR), 1, WINDOW - ANCHOR + 1
+    while have < want:
+        step = min(have, want - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    at = np.flatnonzero(text[: len(least)] == text[WINDOW - 1 :])
+    return _mix(least[at]), at, text[at]
+
+
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     return batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
 
@@ -404,9 +435,123 @@ def _choice(elsewhere: list[list[int] | None], again: list[list[int] | None]):
     return chosen
 
 
+def _ids(text: np.ndarray, h: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """(h, id), each pair of hash and text once."""
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return pa.RecordBatch.from_arrays([_long(h[new]), ids.take(pa.array(text[new]))], ["h", "id"])
+
+
+def shared_windows(df: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> DataFrame | None:
+    """(id, windows): hashes of the windows of each document that a document before it has; None if no anchor is shared."""
+    spark = df.sparkSession
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+
+    def found(some: object | None):
+        def run(batches):
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    units = Units(text_bytes(part.column(1)))
+                    anchor, at, text = _windows(units)
+                    if some is not None:
+                        keep = np.flatnonzero(some.value(anchor))
+                        if not len(keep):
+                            continue
+                        anchor, text = _window_hashes(units.word_hashes[0], WINDOW)[at[keep]], text[keep]
+                    yield _ids(text, anchor, part.column(0))
+
+        return docs.mapInArrow(run, f"h long, id {kind}")
+
+    def shared(rows):
+        return cuts.cut(rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("h", "first"))
+
+    keys = shared(found(None))
+    n = keys.count()
+    if not n:
+        return None
+    windows = cuts.cut(found(spark.sparkContext.broadcast(Bits.build(keys, "h", n))))
+    known = shared(windows)
+    return cuts.cut(windows.join(known, "h").where("id != first").groupBy("id").agg(F.collect_set("h").alias("windows")))
+
+
+def window_spans(texts: list[bytes], gone: list[list[int]]) -> list[list[tuple[int, int]]]:
+    """Stretches of bytes of each text that its windows with the given hashes make up. A stretch goes up to the next word, or to the line's end."""
+    units = Units(texts)
+    _, at, text = _windows(units)
+    h = _window_hashes(units.word_hashes[0], WINDOW).view(np.int64)[at]
+    begins = units.word_hashes[1]
+    newline = np.append(units.line[1:] - 1, len(units.data) - 1)
+    first = np.searchsorted(text, np.arange(len(texts) + 1))
+    out = []
+    for t, hashes in enumerate(gone):
+        here = slice(first[t], first[t + 1])
+        spans: list[tuple[int, int]] = []
+        for a in at[here][np.isin(h[here], np.array(hashes, np.int64))].tolist():
+            if spans and a <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], a + WINDOW)
+            else:
+                spans.append((a, a + WINDOW))
+        base = int(units.text_start[t])
+        ends = [int(min(newline[np.searchsorted(newline, begins[b - 1])], begins[b] if b < len(begins) else len(units.data))) for _, b in spans]
+        out.append([(int(begins[a]) - base, e - base) for (a, _), e in zip(spans, ends)])
+    return out
+
+
+def _joined(old: list[int], new: list[tuple[int, int]]) -> list[int]:
+    """Begins and ends in the first text of what ``old`` cut out of it and ``new`` then cut out of the rest."""
+    spans, shift, k = [], 0, 0
+    cut = list(zip(old[::2], old[1::2]))
+    for a, b in new:
+        while k < len(cut) and cut[k][0] - shift <= a:
+            spans.append(cut[k])
+            shift += cut[k][1] - cut[k][0]
+            k += 1
+        start = a + shift
+        while k < len(cut) and cut[k][0] - shift <= b:
+            shift += cut[k][1] - cut[k][0]
+            k += 1
+        spans.append((start, b + shift))
+    out: list[int] = []
+    for a, b in [*spans, *cut[k:]]:
+        if out and a <= out[-1]:
+            out[-1] = max(b, out[-1])
+        else:
+            out += [a, b]
+    return out
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``df`` with the passages cut out of the texts, and with ``cut_spans``: begins and ends, in turn, of what was cut, in bytes of the old text."""
     cuts = Cuts(df.sparkSession)
+    names = df.columns
+    left = cuts.cut(_without_units(df, id_col, text_col, least))
+    gone = shared_windows(left, cuts, id_col, text_col)
+    if gone is None:
+        return left
+    gone = gone.select(F.col("id").alias("__id"), F.col("windows").alias("__windows"))
+    joined = left.join(gone, left[id_col] == gone["__id"], "left").select(*(left[c] for c in names), left["cut_spans"], "__windows")
+    at = names.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, spans, windows = (batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))
+        rows = [i for i, t in enumerate(texts) if t is not None and windows[i]]
+        data = [texts[i].encode() for i in rows]
+        for i, old, cut in zip(rows, data, window_spans(data, [windows[i] for i in rows]) if rows else []):
+            edges = [0, *(x for s in cut for x in s), len(old)]
+            texts[i] = b"".join(old[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
+            spans[i] = _joined(spans[i], cut)
+        columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.int32()))], [*names, "cut_spans"])
+
+    return map_chunks(joined, run, left.schema, text_col)
+
+
+def _without_units(df: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """``df`` without pieces and paragraphs that are kept elsewhere, and with ``cut_spans``."""
+    cuts = Cuts(df.sparkSession)
     gone = cuts.cut(repeated(df, cuts, id_col, text_col, least)).select(F.col("id").alias("__id"), "elsewhere", "again")
     gone = gone.select("__id", F.col("elsewhere").alias("__elsewhere"), F.col("again").alias("__again"))
     names = df.columns

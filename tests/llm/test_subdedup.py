@@ -189,3 +189,44 @@ def test_odd_rows(spark):
     want = [(i, "" if i in (9, 10) else t) for i, t in want]
     assert got == sorted(want, key=str)
     assert S.deduplicate(docs_frame(spark, [])).count() == 0
+
+
+def shared(texts):
+    """Windows of 50 words that several of the texts have."""
+    count = collections.Counter()
+    for t in texts:
+        w = words(t.encode())
+        count.update({w[i : i + 50] for i in range(len(w) - 49)})
+    return [w for w, n in count.items() if n > 1]
+
+
+def checked(spark, docs):
+    got = {r["doc_id"]: r for r in S.deduplicate(frame(spark, docs)).collect()}
+    out = [got[i]["text"] for i in range(len(docs))]
+    for i, old in enumerate(docs):
+        edges = [0, *got[i]["cut_spans"], len(old.encode())]
+        assert out[i].encode() == b"".join(old.encode()[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return out
+
+
+def test_no_window_of_an_unpunctuated_passage_stays_twice(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    docs = []
+    for _ in range(60):
+        passage = some(rng.randint(51, 60))
+        docs += [f"{some(30)} {passage} {some(20)}" for _ in range(3)]
+    docs[0] += "\n" + PASSAGE
+    docs[1] = PASSAGE + "\n" + docs[1]
+    assert len(shared(docs)) > 60
+    out = checked(spark, docs)
+    assert not shared(out)
+    # what is a document's own stays
+    assert all(o.split()[:5] == d.split()[:5] and o.split()[-5:] == d.split()[-5:] for o, d in zip(out[3:], docs[3:]))
+
+
+def test_joined_spans():
+    text, old, new = "".join(map(chr, range(48, 108))), [3, 6, 10, 12, 30, 40], [(4, 9), (18, 22), (40, 43)]
+    cut = lambda t, s: "".join(t[a:b] for a, b in zip([0, *s[1::2]], [*s[::2], len(t)]))
+    assert cut(cut(text, old), [x for s in new for x in s]) == cut(text, S._joined(old, new))
