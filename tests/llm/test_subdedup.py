@@ -230,3 +230,15 @@ def test_joined_spans():
     text, old, new = "".join(map(chr, range(48, 108))), [3, 6, 10, 12, 30, 40], [(4, 9), (18, 22), (40, 43)]
     cut = lambda t, s: "".join(t[a:b] for a, b in zip([0, *s[1::2]], [*s[::2], len(t)]))
     assert cut(cut(text, old), [x for s in new for x in s]) == cut(text, S._joined(old, new))
+
+
+def test_lists_of_short_lines_stay_once(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    lines = [" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(100)]
+    intro = [" ".join(word() for _ in range(12)) + "." for _ in range(6)]
+    talk = " ".join(word() + "!!" for _ in range(80))
+    docs = [f"{x}\n" + "\n".join(lines) for x in intro[:3]] + [f"{x} {talk}" for x in intro[3:]]
+    out = checked(spark, docs)
+    assert out[0] == docs[0] and out[3] == docs[3] and not shared(out)
+    assert [o.strip() for o in out[1:3] + out[4:]] == intro[1:3] + intro[4:]
