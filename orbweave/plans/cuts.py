@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a file that one task reads (Spark's default).
+SCAN_BYTES = 128 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; where it is unset (one machine, tests) a local folder is set."""
+    """What ``spark.checkpoint.dir`` names; where it is unset on one machine, as in tests, a local folder is set. A cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -40,7 +45,20 @@ class Cuts:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of a table; nothing is run for it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table that is in fewer partitions than there are cores, dealt to all of them; work per row that is worth a shuffle follows."""
+    """A table too small to be read in as many tasks as there are cores, dealt to all of them; work per row that is worth a shuffle follows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if plan_bytes(df) < cores * SCAN_BYTES else df
+
+
+def fresh(name: str, *taken: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has, whatever the case."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
