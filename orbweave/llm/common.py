@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orbweave.plans.cuts import Cuts
 
-__all__ = ["Cuts", "chunks", "held_out", "map_chunks", "small_batches", "text_bytes"]
+__all__ = ["Cuts", "chunks", "held_out", "learnable", "map_batches", "map_chunks", "release", "small_batches", "text_bytes"]
 
 #: Bytes of text that a Python function gets at once.
 CHUNK_BYTES = 2 << 20
@@ -40,6 +41,28 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Hands free memory back to the system: workers wait for their next task, or the next stage's, with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in small batches; a worker hands its memory back when a task ends."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text") -> DataFrame:
     """``fn`` over slices of bounded size; nothing is kept from one slice to the next but what ``fn`` caches itself."""
 
@@ -48,8 +71,7 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
             for part in chunks(batch, column):
                 yield fn(part)
 
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -57,6 +79,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _remainder(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+
+
 def held_out(doc_id: Column) -> Column:
-    """True for the quarter of the ids that no model learns from; a null id is held out as well."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    """True for a quarter of the ids; a null id has no remainder and is false."""
+    return F.coalesce(_remainder(doc_id) == 2, F.lit(False))
+
+
+def learnable(doc_id: Column) -> Column:
+    """True for the ids that models learn from: those that aren't held out, null ids not among them."""
+    return F.coalesce(_remainder(doc_id) != 2, F.lit(False))

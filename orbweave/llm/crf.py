@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import held_out, map_chunks, text_bytes
+from orbweave.llm.common import learnable, map_chunks, text_bytes
 
 TRAIN_DOCS = 3_000
 TRAIN_LINES = 48
@@ -205,7 +205,7 @@ def train(own: np.ndarray, length: np.ndarray, first: np.ndarray, labels: np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> LineField | None:
     """Learns from the labelled documents that aren't held out; None if they don't have both labels."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull() & ~held_out(F.col(label_id)))
+    known = labels.where(F.col(label_col).isNotNull() & learnable(F.col(label_id)))
     known = known.groupBy(F.col(label_id).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     n = known.count()
     level = 1 << 20

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import held_out, map_chunks
+from orbweave.llm.common import learnable, map_chunks
 
 LANGUAGE_BYTES = 32 << 10
 TOTAL_BYTES = 256 << 10
@@ -168,7 +168,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     """Learns from text and label of the rows that aren't held out (of all with ``everything``)."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     if not everything:
-        rows = rows.where(~held_out(F.col(id_col)))
+        rows = rows.where(learnable(F.col(id_col)))
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     each = min(LANGUAGE_BYTES, TOTAL_BYTES // max(1, len(counts)))
     hashed = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))

@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Cuts, map_chunks, text_bytes
+from orbweave.llm.common import Cuts, map_batches, map_chunks, release, text_bytes
 from orbweave.llm.components import components
+from orbweave.plans.cuts import fresh
 
 LOWER = bytes(range(256)).lower()
 SEED = 42
@@ -33,8 +34,8 @@ SHINGLE = 3
 RADIUS = 3
 #: Distinct fingerprints that a shard should hold.
 SHARD = 32_768
-#: Sampled fingerprints per shard that the tree's points and distances are fitted to: so many, fewer if they would be
-#: more than SAMPLE in all, but LEAST_SAMPLE at least.
+#: Sampled fingerprints per shard that the tree's points and distances are fitted to, fewer if they would be more than SAMPLE
+#: in all; with so many shards that they had less than LEAST_SAMPLE each, shards grow instead.
 SAMPLE_PER_SHARD, SAMPLE, LEAST_SAMPLE = 128, 1 << 20, 16
 #: A block of at most so many residents isn't split further.
 BLOCK = 128
@@ -181,8 +182,8 @@ def link_shard(residents: np.ndarray, queries: np.ndarray, radius: int) -> tuple
 
 def link(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) that connect what is linked, from ``n`` distinct fingerprints in the column ``fp``."""
-    depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))))
-    want = max(LEAST_SAMPLE << depth, min(SAMPLE_PER_SHARD << depth, SAMPLE))
+    depth = min(int(np.log2(SAMPLE // LEAST_SAMPLE)), max(0, int(np.ceil(np.log2(max(1, n / SHARD))))))
+    want = min(SAMPLE_PER_SHARD << depth, SAMPLE)
     share = min(1.0, 2 * want / max(1, n))
     # a fingerprint's own hash decides, and only distinct ones are here, so the sample's size is near 2 * want
     chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("fp") if depth else distinct.select("fp").limit(0)
@@ -200,28 +201,46 @@ def link(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     def shard(table: pa.Table) -> pa.Table:
         fps, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
         a, b = link_shard(fps[home], fps, radius)
+        release()
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    sent = distinct.select("fp").mapInArrow(send, "leaf int, fp long, home boolean")
+    sent = map_batches(distinct.select("fp"), send, "leaf int, fp long, home boolean")
     return sent.groupBy("leaf").applyInArrow(shard, "a long, b long")
 
 
+def _rooted(rows: DataFrame, cuts: Cuts, least: tuple, radius: int) -> DataFrame:
+    """(fp, root, *least): each fingerprint of ``rows`` with its component and what ``least`` aggregates of its rows."""
+    distinct = cuts.cut(rows.groupBy("fp").agg(*least) if least else rows.select("fp").distinct())
+    roots = components(cuts.cut(link(distinct, distinct.count(), radius)), cuts)
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return cuts.cut(known.select("fp", F.coalesce("root", "fp").alias("root"), *(c for c in distinct.columns if c != "fp")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """id, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least id of the row's component) of every row."""
     cuts = Cuts(df.sparkSession)
     rows = cuts.cut(fingerprints(df, id_col, text_col, width).select(F.col(id_col).alias("id"), "fp"))
-    distinct = cuts.cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(cuts.cut(link(distinct, distinct.count(), radius)), cuts)
-    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    known = cuts.cut(known)
+    known = _rooted(rows, cuts, (F.min("id").alias("first"),), radius)
     least = cuts.cut(known.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cuts.cut(known.join(least, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` with the least id of each component. Of rows with equal ids one stays; rows without an id can't be named and stay."""
-    found = near_duplicates(df, id_col, text_col, width, radius).where(F.col(id_col).isNotNull())
-    kept = found.groupBy("component_id").agg(F.min(id_col).alias("__kept")).select("__kept")
-    named = df.where(F.col(id_col).isNotNull())
-    return named.join(kept, named[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col]).union(df.where(F.col(id_col).isNull()))
+    """One row of each component, the one with the least id, null ids last; of rows of one id the first in the table.
+
+    Rows are told apart by a number that they are written with, never by their ids, so rows of one id that aren't near
+    copies all stay. Winners are chosen among numbers and fingerprints alone; texts are only joined with the numbers that stay.
+    """
+    cuts = Cuts(df.sparkSession)
+    row = fresh("row", df)
+    numbered = cuts.cut(df.withColumn(row, F.monotonically_increasing_id()))
+    prints = fingerprints(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text")), "row", "text", width)
+    rows = cuts.cut(prints)
+    known = _rooted(rows, cuts, (), radius)
+    order = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
+    placed = cuts.cut(rows.join(known, "fp").select("row", "root").join(order, "row"))
+    best = cuts.cut(placed.groupBy("root").agg(F.min("id").alias("id")).withColumnRenamed("root", "top"))
+    tied = placed.join(best, (placed["root"] == best["top"]) & placed["id"].eqNullSafe(best["id"]))
+    winners = cuts.cut(tied.groupBy("root").agg(F.min("row").alias(row)).select(row))
+    return numbered.join(winners, row, "left_semi").select(*df.columns)
