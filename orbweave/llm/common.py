@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbweave.plans.cuts import Cuts
 
-__all__ = ["Cuts", "chunks", "held_out", "learnable", "map_batches", "map_chunks", "release", "small_batches", "text_bytes"]
+__all__ = ["Cuts", "chunks", "held_out", "learnable", "map_batches", "map_chunks", "release", "row_hash", "small_batches", "text_bytes"]
 
 #: Bytes of text that a Python function gets at once.
 CHUNK_BYTES = 2 << 20
@@ -79,6 +80,11 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Of all columns that can be hashed; with its id it stands for a row, and repeated rows have the same."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+
+
 def _remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Cuts, map_batches, map_chunks, release, text_bytes
+from orbweave.llm.common import Cuts, map_batches, map_chunks, release, row_hash, text_bytes
 from orbweave.llm.components import components
 from orbweave.plans.cuts import fresh
 
@@ -82,15 +82,15 @@ def fingerprints_of(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """id and ``fp``, the fingerprint as a signed long, of every row."""
-    kind = df.schema[id_col].dataType.simpleString()
+def fingerprints(df: DataFrame, text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """The columns of ``df`` but the text, and ``fp``, the fingerprint as a signed long."""
+    others = [c for c in df.columns if c != text_col]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = fingerprints_of(text_bytes(batch.column(1)), width).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], [id_col, "fp"])
+        fp = fingerprints_of(text_bytes(batch.column(len(others))), width).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(fp)], [*others, "fp"])
 
-    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, fp long", text_col)
+    return map_chunks(df.select(*others, text_col), run, df.select(*others).schema.add("fp", "long"), text_col)
 
 
 @dataclass
@@ -219,7 +219,7 @@ def _rooted(rows: DataFrame, cuts: Cuts, least: tuple, radius: int) -> DataFrame
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """id, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least id of the row's component) of every row."""
     cuts = Cuts(df.sparkSession)
-    rows = cuts.cut(fingerprints(df, id_col, text_col, width).select(F.col(id_col).alias("id"), "fp"))
+    rows = cuts.cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", width))
     known = _rooted(rows, cuts, (F.min("id").alias("first"),), radius)
     least = cuts.cut(known.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cuts.cut(known.join(least, "root").select("fp", "component_id"))
@@ -227,20 +227,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, the one with the least id, null ids last; of rows of one id the first in the table.
+    """One row of each component, the one with the least id, null ids last; of rows of one id the one with the least hash of its columns.
 
-    Rows are told apart by a number that they are written with, never by their ids, so rows of one id that aren't near
-    copies all stay. Winners are chosen among numbers and fingerprints alone; texts are only joined with the numbers that stay.
+    Rows are told apart by their id and a hash of all columns, so rows of one id that aren't near copies all stay. Winners are
+    chosen among narrow rows, and texts are only joined with the keys of what goes; of repeated rows, equal in all columns, one
+    is picked out by a step of its own, which there is only if some are to stay.
     """
     cuts = Cuts(df.sparkSession)
-    row = fresh("row", df)
-    numbered = cuts.cut(df.withColumn(row, F.monotonically_increasing_id()))
-    prints = fingerprints(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text")), "row", "text", width)
-    rows = cuts.cut(prints)
+    keyed = df.select(F.col(id_col).alias("id"), row_hash(df).alias("h"), F.col(text_col).alias("text"))
+    rows = cuts.cut(fingerprints(keyed, "text", width))
     known = _rooted(rows, cuts, (), radius)
-    order = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
-    placed = cuts.cut(rows.join(known, "fp").select("row", "root").join(order, "row"))
-    best = cuts.cut(placed.groupBy("root").agg(F.min("id").alias("id")).withColumnRenamed("root", "top"))
-    tied = placed.join(best, (placed["root"] == best["top"]) & placed["id"].eqNullSafe(best["id"]))
-    winners = cuts.cut(tied.groupBy("root").agg(F.min("row").alias(row)).select(row))
-    return numbered.join(winners, row, "left_semi").select(*df.columns)
+    placed = cuts.cut(rows.groupBy("fp", "id", "h").agg(F.count("*").alias("n")).join(known, "fp").select("root", "id", "h", "n"))
+    best = cuts.cut(placed.groupBy("root").agg(F.min("id").alias("best")))
+    tied = cuts.cut(placed.join(best, "root").where(F.col("id").eqNullSafe(F.col("best"))).groupBy("root").agg(F.min("h").alias("top")))
+    judged = placed.join(best, "root").join(tied, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best")) & (F.col("h") == F.col("top")))
+    names = [fresh(n, df) for n in ("id", "h")]
+    named = lambda part: part.select(*(F.col(c).alias(n) for c, n in zip(("id", "h"), names)))
+    judged = cuts.cut(judged.where("not stays or n > 1").select("id", "h", "stays"))
+    match = lambda part: df[id_col].eqNullSafe(part[names[0]]) & (row_hash(df) == part[names[1]])
+    gone = named(judged)
+    kept = df.join(gone, match(gone), "left_anti")
+    if not judged.where("stays").limit(1).count():
+        return kept
+    again, key = named(judged.where("stays")), fresh("key", df)
+    return kept.unionByName(df.join(again, match(again), "left_semi").withColumn(key, row_hash(df)).dropDuplicates([id_col, key]).select(*df.columns))

@@ -1,27 +1,28 @@
 """Substring deduplication: repeated passages are cut out of all documents but the first that has them.
 
-Two kinds of units are looked up. *Pieces* of sentences of at least ``LOOKED_UP`` words match exactly, word by word in
-lower case. A piece ends with its sentence (a full stop, question or exclamation mark before white space, or a line's
-end), and after two words whose hash is a multiple of ``PIECE_WORDS``, but takes in what would be shorter pieces after
-it. So equal passages fall into equal pieces wherever they begin, within a line, too. A run of pieces that are all kept
-elsewhere is a repeated passage if it has ``RUN_WORDS`` words or more. *Paragraphs* (lines) of at least
-``RUN_WORDS`` words also match nearly: MinHash signatures over shingles of five words are cut into bands, bands
-with several paragraphs are verified by exact Jaccard similarity, and the links' components are removed but
-for the first document's paragraph.
-
-``BANDS`` bands of ``ROWS`` rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS =
-0.9978, and more similar ones more surely. Equal paragraphs are one node from the start. A band's paragraphs
-are compared in blocks of ``BLOCK``, all pairs of blocks, so no group of any size meets in a task, and each
-task returns a spanning forest of its links.
-
-What these two leave is searched for every stretch of ``WINDOW`` words that several documents still share, wherever it
-begins and however its sentences and lines are cut. Of each ``WINDOW`` words the least hash of ``ANCHOR`` words in a row
-is an anchor, so equal stretches have equal anchors; where an anchor is in several documents, all windows around it
-are compared, and those that an earlier document has are cut, word by word.
-
-The first document is the one with the least id. Of a document's own repeats the first stays. Rows with equal
-ids count as one document whose every text keeps what it has first. Null ids are never changed and keep nothing. Null texts stay null, empty ones empty.
-Other columns are returned unchanged; an empty table gives no rows.
+*Paragraphs* (lines) of at least ``SHINGLE`` words match nearly: MinHash signatures over shingles of five words are cut into
+bands, as many as ``bands`` works out for the wanted recall at the wanted similarity; paragraphs that collide in a band are
+compared by exact Jaccard similarity, and links make components. In every document but the first of a component (or of
+equal paragraphs) its paragraphs are marked, and runs of marked lines, blank lines between them included, are cut if they
+have ``least_words`` words or more.
+
+What this leaves is searched for every stretch of ``WINDOW`` words that several documents still share, wherever it begins
+and however its sentences and lines are cut. Of each ``WINDOW`` words the least hash of ``ANCHOR`` words in a row is an
+anchor, so equal stretches have equal anchors; where an anchor is in several documents, all windows around it are
+compared, and those that an earlier document has are cut, word by word.
+
+Words are runs of ASCII letters and digits, in lower case, and of bytes past ASCII. Nothing is cut on a 64-bit hash:
+paragraphs and windows are equal if the 128-bit XXH3 digests of their words are. Smaller hashes only choose what is
+compared; they mix after every step, so that no family of texts collides in them.
+
+A band's paragraphs are first compared with the band's representative, each pair once whatever bands it is from. Only
+where that leaves a band in several components are the smaller ones compared with all of the band, in blocks of ``BLOCK``;
+so a large group of near copies costs a comparison a member, no group meets in one task, and no link is lost.
+
+The first document is the one with the least id; null ids come last and keep all that only they have. Rows with equal ids
+are one document: none of them is cut for another. Repeats within a document stay. Null texts stay null, empty ones
+empty. Rows are joined by their id and a hash of all columns, so neither many rows of one id nor of none meet in one task.
+Other columns are returned unchanged, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,41 +31,43 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from orbweave.llm.common import Cuts, chunks, map_chunks, small_batches, text_bytes
+from orbweave.llm.common import Cuts, chunks, map_batches, map_chunks, row_hash, text_bytes
 from orbweave.llm.components import components
 from orbweave.llm.simhash import _Forest
+from orbweave.plans.cuts import fresh
 
-LOOKED_UP = 4
-PIECE_WORDS = 8
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Share of the pairs at SIMILARITY that the bands have to bring together, and the most hashes that may be spent on it.
+RECALL, HASHES = 0.998, 64
+#: Marked lines are cut from so many words in a row on.
 RUN_WORDS = 25
 #: Words of a stretch that no two documents keep, and of the anchors in it.
 WINDOW, ANCHOR = 50, 25
-SHINGLE = 5
-SIMILARITY = 0.8
-BANDS, ROWS = 6, 2
 BLOCK = 512
 #: A prefilter has at most so many bits (32 MB); with more keys it lets more through, and the join after it decides.
 MOST_BITS = 1 << 28
+#: Words longer than this many bytes have their rest hashed one by one.
+LONG_WORD = 256
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BEGIN, _STEP, _WORD_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_ROW = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.array([b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)], np.uint8)
-_POWERS = [np.ones(1, np.uint64)]
+_BY_SIZE, _BY_BLOCK, _BY_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_ROW = np.random.default_rng(20).integers(1, 1 << 63, 4 * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _powers(n: int) -> np.ndarray:
-    """Powers of the step modulo 2^64, kept for the next call."""
-    have = _POWERS[0]
-    while len(have) < n:
-        have = np.concatenate((have, have * (have[-1:] * _STEP)))
-    _POWERS[0] = have
-    return have
+def bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
+    """(bands, rows): as many rows a band as ``most`` hashes allow, with the bands that find a pair of the similarity with the wanted probability."""
+    best = None
+    for rows in range(1, most + 1):
+        n = 1 if similarity >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
+        if n * rows > most:
+            break
+        best = n, rows
+    return best or (most, 1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,85 +76,82 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def sequence_hashes(word: np.ndarray, size: int) -> np.ndarray:
+    """Of each ``size`` words in a row, by doubling: two halves are mixed into one, which overlap at the last step."""
+    if len(word) < size:
+        return np.zeros(0, np.uint64)
+    h, have = word, 1
+    while have < size:
+        step = min(have, size - have)
+        h = _mix(h[: len(h) - step] * _BY_STEP + h[step:])
+        have += step
+    return h
+
+
 class Units:
-    """Pieces of sentences and lines of many texts at once. Texts are joined by newlines, so each ends with one of its own."""
+    """Words and lines of many texts at once. Texts are joined by newlines, so each ends with one of its own."""
 
     def __init__(self, texts: list[bytes]):
         self.data = data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        n = len(data)
         self.folded = _FOLD[data]
-        self.word = self.folded != 32
-        self.begin = self.word.copy()
-        self.begin[1:] &= ~self.word[:-1]
-        newline = data == 10
-        stop = (data == 46) | (data == 33) | (data == 63)
-        stop[:-1] &= (data[1:] == 32) | (data[1:] == 9) | (data[1:] == 13)
-        stop[-1] = False
+        word = self.folded != 32
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], word)).astype(np.int8)))
+        #: Begins and ends of the words.
+        self.begins, self.ends = edge[::2], edge[1::2]
         size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.text_start = np.concatenate(([0], np.cumsum(size)))
-        self.line = np.concatenate(([0], np.flatnonzero(newline) + 1))
-        self._ends = newline | stop
+        #: Begins of the lines, and the end of all.
+        self.line = np.concatenate(([0], np.flatnonzero(data == 10) + 1))
+        #: The first word of each line, and the number of all words.
+        self.first = np.searchsorted(self.begins, self.line)
+        self.line_text = np.searchsorted(self.text_start, self.line[:-1], side="right") - 1
 
     @cached_property
-    def word_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all words, and where they begin and end."""
-        at = np.flatnonzero(self.word)
-        first = np.flatnonzero(self.begin[at])
-        if not len(first):
-            return np.zeros(0, np.uint64), first, first
-        size = np.diff(np.append(first, len(at)))
-        place = np.arange(len(at)) - np.repeat(first, size)
-        h = _mix(np.add.reduceat(_BYTE[self.folded[at]] * _powers(int(place.max()) + 1)[place], first))
-        return h, at[first], at[first] + size
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word."""
+        size = self.ends - self.begins
+        h = _mix(size.astype(np.uint64) * _BY_SIZE)
+        padded = np.concatenate((self.folded, np.zeros(8, np.uint8)))
+        eights = np.lib.stride_tricks.as_strided(padded, (len(self.folded) + 1, 8), (1, 1))
+        active, place = np.arange(len(size)), 0
+        while len(active) and place < LONG_WORD:
+            block = np.ascontiguousarray(eights[self.begins[active] + place]).view("<u8").ravel()
+            left = size[active] - place
+            part = left < 8
+            block[part] &= (np.uint64(1) << (np.uint64(8) * left[part].astype(np.uint64))) - np.uint64(1)
+            h[active] = _mix((h[active] ^ block) * _BY_BLOCK)
+            place += 8
+            active = active[left > 8]
+        for i in active.tolist():
+            rest = self.folded[self.begins[i] + LONG_WORD : self.ends[i]].tobytes()
+            h[i] = xxhash.xxh3_64_intdigest(rest, int(h[i]))
+        return h
 
     @cached_property
-    def piece(self) -> np.ndarray:
-        """Begins of the pieces, and the end of all. Of two words, their hash says whether a piece ends with them; what is too short goes on."""
-        h, begins, ends = self.word_hashes
-        cut = self._ends
-        if len(h) > 1:
-            same_line = np.searchsorted(self.line, begins[1:], side="right") == np.searchsorted(self.line, begins[:-1], side="right")
-            chosen = _mix(h[:-1] * _WORD_STEP + h[1:]) % np.uint64(PIECE_WORDS) == 0
-            cut = cut.copy()
-            cut[ends[1:][same_line & chosen] - 1] = True
-        raw = np.concatenate(([0], np.flatnonzero(cut) + 1))
-        kept = np.isin(raw, self.text_start)
-        kept[:-1] |= self.words(raw) >= LOOKED_UP
-        return raw[kept]
-
-    def words(self, cut: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.begin, cut[:-1], dtype=np.int64) if len(cut) > 1 else np.zeros(0, np.int64)
-
-    def hashes(self, cut: np.ndarray) -> np.ndarray:
-        """Of the words of each stretch, in order."""
-        at = np.flatnonzero(self.word)
-        if not len(at):
-            return np.zeros(len(cut) - 1, np.uint64)
-        before = np.searchsorted(at, cut)
-        place = np.arange(len(at)) - np.repeat(before[:-1], np.diff(before))
-        value = (_BYTE[self.folded[at]] + _BEGIN * self.begin[at]) * _powers(int(place.max()) + 1)[place]
-        out = np.zeros(len(cut) - 1, np.uint64)
-        full = np.flatnonzero(np.diff(before))
-        out[full] = np.add.reduceat(value, before[full])
-        return _mix(out)
-
-    def owners(self, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The text of each stretch, and its number within the text."""
-        text = np.searchsorted(self.text_start, cut[:-1], side="right") - 1
-        first = np.searchsorted(cut[:-1], self.text_start[:-1])
-        return text, np.arange(len(text)) - first[text]
+    def plain(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each begins and ends there."""
+        words = self.folded.tobytes().split()
+        size = self.ends - self.begins
+        end = np.cumsum(size + 1) - 1
+        return b" ".join(words), end - size, end
+
+    def digests(self, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+        """128 bits of the words from ``low`` to before ``high``."""
+        plain, begin, end = self.plain
+        digest = xxhash.xxh3_128_digest
+        return [digest(plain[a:b]) for a, b in zip(begin[low].tolist(), end[high - 1].tolist())]
+
+    def paragraphs(self, least: int = SHINGLE) -> np.ndarray:
+        """Numbers of the lines of so many words or more."""
+        return np.flatnonzero(np.diff(self.first) >= least)
 
     def shingles(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles of the given lines, one line after another, and where each line's begin. The lines have SHINGLE words or more."""
-        word, begins, _ = self.word_hashes
-        low, high = np.searchsorted(begins, self.line[lines]), np.searchsorted(begins, self.line[lines + 1])
-        n = high - low - SHINGLE + 1
+        """Hashes of the shingles of the given lines, one line after another, and where each line's begin."""
+        every = sequence_hashes(self.hashes, SHINGLE)
+        low = self.first[lines]
+        n = self.first[lines + 1] - low - SHINGLE + 1
         start = np.concatenate(([0], np.cumsum(n)))
-        index = np.arange(start[-1]) + np.repeat(low - start[:-1], n)
-        out = np.zeros(len(index), np.uint64)
-        for j in range(SHINGLE):
-            out = out * _WORD_STEP + word[index + j]
-        return _mix(out), start
+        return every[np.arange(start[-1]) + np.repeat(low - start[:-1], n)], start
 
 
 class Bits:
@@ -185,106 +185,88 @@ class Bits:
                     word = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
                     yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(word.view(np.int64))], ["at", "word"])
 
-        got = df.select(column).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        got = map_batches(df.select(column), run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
         words = np.zeros(bits >> 6, np.uint64)
         words[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
         return cls(words)
 
 
-def _window_hashes(word: np.ndarray, size: int) -> np.ndarray:
-    """Of each ``size`` words in a row."""
-    out = np.zeros(max(0, len(word) - size + 1), np.uint64)
-    for j in range(size):
-        out *= _WORD_STEP
-        out += word[j : j + len(out)]
-    return _mix(out)
-
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
-def _windows(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of all windows within a text, the words that they begin with, and their texts."""
-    word, begins, _ = units.word_hashes
-    text = np.searchsorted(units.text_start, begins, side="right") - 1
-    if len(word) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, have, want = _window_hashes(word, ANCHOR), 1, WINDOW - ANCHOR + 1
-    while have < want:
-        step = min(have, want - have)
-        least = np.minimum(least[:-step], least[step:])
-        have += step
-    at = np.flatnonzero(text[: len(least)] == text[WINDOW - 1 :])
-    return _mix(least[at]), at, text[at]
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text) of the rows with a text; h tells rows of one id apart by all their columns, repeated rows excepted."""
+    return df.select(F.col(id_col).alias("id"), row_hash(df).alias("h"), F.col(text_col).alias("text")).where("text is not null")
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    return batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
 
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """(key, first): the least id of what several documents have."""
+    found = rows.groupBy(key).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("unnamed"))
+    return found.select(key, "first", ((F.col("first") != F.col("last")) | F.col("first").isNotNull() & F.col("unnamed")).alias("shared"))
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
+def _of_each(rows: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
+    """(id, h, name): the keys of each row that an earlier document has."""
+    gone = rows.join(known.select(key, "first"), key).where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+    return gone.groupBy("id", "h").agg(F.collect_set(key).alias(name))
 
-def _looked_up(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and number of each unit that is looked up: pieces by their number, paragraphs by -1 less theirs."""
-    out = []
-    for cut, least, salt in ((units.piece, LOOKED_UP, 0), (units.line, RUN_WORDS, 0x5DEECE66D)):
-        chosen = np.flatnonzero(units.words(cut) >= least)
-        text, number = units.owners(cut)
-        h = units.hashes(cut)[chosen] ^ np.uint64(salt)
-        out.append((h, text[chosen], -1 - number[chosen] if salt else number[chosen]))
-    return tuple(np.concatenate(x) for x in zip(*out))
 
-
-def _occurrences(docs: DataFrame, id_type: str, only: object | None = None) -> DataFrame:
-    """(h, id) of each unit; with ``only``, a broadcast filter of hashes, (h, id, again) of what passes it; again: it was in the text before."""
+def paragraph_rows(docs: DataFrame, id_type: str) -> DataFrame:
+    """(d, id, h): the digests of each row's paragraphs, each once."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, text, number = _looked_up(Units(text_bytes(part.column(1))))
-                if only is None:
-                    yield pa.RecordBatch.from_arrays([_long(h), part.column(0).take(pa.array(text))], ["h", "id"])
-                    continue
-                keep = only.value(h)
-                h, text, number = h[keep], text[keep], number[keep]
-                order = np.lexsort((np.abs(number), h, text))
-                again = np.zeros(len(h), bool)
-                again[order[1:]] = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
-                yield pa.RecordBatch.from_arrays([_long(h), part.column(0).take(pa.array(text)), pa.array(again)], ["h", "id", "again"])
+                units = Units(text_bytes(part.column(2)))
+                lines = units.paragraphs()
+                found = units.digests(units.first[lines], units.first[lines + 1])
+                each = sorted(set(zip(units.line_text[lines].tolist(), found)))
+                at = pa.array([t for t, _ in each], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([d for _, d in each], pa.binary()), part.column(0).take(at), part.column(1).take(at)], ["d", "id", "h"])
+
+    return map_batches(docs, run, f"d binary, id {id_type}, h long")
+
 
-    return docs.mapInArrow(run, f"h long, id {id_type}" + ("" if only is None else ", again boolean"))
+def signatures(shingles: np.ndarray, start: np.ndarray, shape: tuple[int, int]) -> list[np.ndarray]:
+    """A key for each band, of each of the sets of shingles that begin at ``start``."""
+    out = []
+    for b in range(shape[0]):
+        key = np.full(len(start) - 1, b + 1, np.uint64)
+        for row in _ROW[b * shape[1] : (b + 1) * shape[1]]:
+            key = _mix(key * _BY_STEP + np.minimum.reduceat(_mix(shingles * row), start[:-1]))
+        out.append(key)
+    return out
 
 
-def _bands(docs: DataFrame, only: object | None = None) -> DataFrame:
-    """(k, h) for each paragraph and band, equal paragraphs of a batch once; with ``only``, of the bands that pass it, and with the paragraph's shingles."""
+def _bands(docs: DataFrame, shape: tuple[int, int], only: object | None = None) -> DataFrame:
+    """(k, node) for each paragraph and band, equal paragraphs of a batch once; with ``only``, of the bands that pass it, and also (null, node, shingles) of these paragraphs."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                units = Units(text_bytes(part.column(1)))
-                lines = np.flatnonzero(units.words(units.line) >= RUN_WORDS)
-                if not len(lines):
+                units = Units(text_bytes(part.column(2)))
+                lines = units.paragraphs()
+                distinct = dict(zip(units.digests(units.first[lines], units.first[lines + 1]), lines.tolist()))
+                if not distinct:
                     continue
-                h, first = np.unique(units.hashes(units.line)[lines] ^ np.uint64(0x5DEECE66D), return_index=True)
-                lines = lines[first]
-                order = np.argsort(lines)
-                lines, h = lines[order], h[order]
-                shingles, start = units.shingles(lines)
-                least = [np.minimum.reduceat(_mix(shingles * a), start[:-1]) for a in _ROW]
-                sets: dict[int, bytes] = {}
-                for b in range(BANDS):
-                    k = np.full(len(lines), b + 1, np.uint64)
-                    for r in range(ROWS):
-                        k = _mix(k * _WORD_STEP + least[b * ROWS + r])
-                    if only is None:
-                        yield pa.RecordBatch.from_arrays([_long(k), _long(h)], ["k", "h"])
-                    else:
-                        pick = np.flatnonzero(only.value(k))
-                        for i in pick.tolist():
-                            if i not in sets:
-                                sets[i] = np.unique(shingles[start[i] : start[i + 1]]).tobytes()
-                        yield pa.RecordBatch.from_arrays([_long(k[pick]), _long(h[pick]), pa.array([sets[i] for i in pick.tolist()], pa.binary())], ["k", "h", "shingles"])
-
-    return docs.mapInArrow(run, "k long, h long" + ("" if only is None else ", shingles binary"))
+                node = np.array([xxhash.xxh64_intdigest(d, 42) for d in distinct], np.uint64)  # as xxhash64 in SQL
+                shingles, start = units.shingles(np.array(list(distinct.values()), np.int64))
+                keys = signatures(shingles, start, shape)
+                if only is None:
+                    for k in keys:
+                        yield pa.RecordBatch.from_arrays([_long(k), _long(node)], ["k", "node"])
+                    continue
+                some = np.zeros(len(node), bool)
+                for k in keys:
+                    pick = only.value(k)
+                    some |= pick
+                    yield pa.RecordBatch.from_arrays([_long(k[pick]), _long(node[pick]), pa.nulls(int(pick.sum()), pa.binary())], ["k", "node", "shingles"])
+                which = np.flatnonzero(some)
+                sets = [np.unique(shingles[start[i] : start[i + 1]]).tobytes() for i in which.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(which), pa.int64()), _long(node[which]), pa.array(sets, pa.binary())], ["k", "node", "shingles"])
+
+    return map_batches(docs, run, "k long, node long" + ("" if only is None else ", shingles binary"))
 
 
 def similar_pairs(sets: list[np.ndarray], other: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -304,199 +286,217 @@ def similar_pairs(sets: list[np.ndarray], other: list[np.ndarray], least: float)
     return np.nonzero(common >= least * joined - 1e-6)
 
 
-def _links(members: DataFrame, cuts: Cuts, least: float) -> DataFrame:
-    """Edges (a, b) that connect what is similar among the members (k, h, shingles) of each band."""
-    members = cuts.cut(members.dropDuplicates(["k", "h"]))
-    sizes = cuts.cut(members.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
-    spread = members.join(sizes, "k").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    # block x meets block y in the task (least, greatest)
-    spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("k", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "h", "shingles")
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets have a Jaccard similarity of ``least`` or more; their sizes alone may rule it out."""
+    small, large = sorted((len(x), len(y)))
+    if small < least * large - 1e-6:
+        return False
+    joined = len(np.unique(np.concatenate((x, y))))
+    return small + large - joined >= least * joined - 1e-6
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            yes = [similar(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), least) for s, t in zip(x, y)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return map_batches(pairs.join(own, "a").join(other, "b").select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def links(members: DataFrame, sets: DataFrame, cuts: Cuts, least: float) -> DataFrame:
+    """Edges (a, b) that connect what is similar among the members (k, node) of each band. ``sets`` has each node's shingles."""
+    tops = cuts.cut(members.groupBy("k").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"))
+    pairs = members.join(tops, "k").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    stars = cuts.cut(_checked(cuts.cut(pairs), sets, least))
+    roots = components(stars, cuts)
+    # bands that are still in several components: all but the largest are compared with the whole band
+    named = cuts.cut(members.join(tops.select("k"), "k", "left_semi").join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("part")))
+    sizes = named.groupBy("k", "part").agg(F.count("*").alias("size"))
+    open_bands = cuts.cut(sizes.groupBy("k").agg(F.count("*").alias("parts"), F.sum("size").alias("n"), F.max("size").alias("largest")).where("parts > 1"))
+    if not open_bands.limit(1).count():
+        return stars
+    largest = sizes.join(open_bands, "k").where("size = largest").groupBy("k").agg(F.min("part").alias("main"))
+    open_bands = cuts.cut(open_bands.join(largest, "k").select("k", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("others")))
+    rows = cuts.cut(named.join(open_bands, "k").join(sets, "node").withColumn("place", F.xxhash64("node", F.lit(1))))
+    # block i of all meets block j of those outside the main component in task (i, j)
+    one = rows.select("k", F.pmod("place", "blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"), F.lit(False).alias("other"), "node", "part", "shingles")
+    two = rows.where("part != main").select("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("others")).cast("int").alias("j"), F.lit(True).alias("other"), "node", "part", "shingles")
 
     def verify(batches):
         """Group after group of sorted rows; a group has two blocks' rows at most."""
-        held, rows, a, b = None, [], [], []
+        held, rows, found = None, [], ([], [])
         for batch in batches:
-            k, i, j, own, h = (batch.column(x).to_pylist() for x in range(5))
-            for key, mine, node, shingles in zip(zip(k, i, j), own, h, batch.column(5).to_pylist()):
+            k, i, j, other, node, part = (batch.column(x).to_pylist() for x in range(6))
+            for key, row in zip(zip(k, i, j), zip(other, node, part, batch.column(6).to_pylist())):
                 if key != held:
-                    _verified(held, rows, least, a, b)
+                    _compared(rows, least, found)
                     held, rows = key, []
-                rows.append((mine, node, shingles))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-        _verified(held, rows, least, a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+            found = ([], [])
+        _compared(rows, least, found)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
-    dealt = spread.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.mapInArrow(verify, "a long, b long")
+    dealt = one.unionByName(two).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return stars.unionByName(map_batches(dealt, verify, "a long, b long"))
 
 
-def _verified(key: tuple | None, rows: list[tuple[int, int, bytes]], least: float, out_a: list[int], out_b: list[int]) -> None:
-    """Adds a spanning forest of the links between the rows of block i and those of block j, or within the block if they are one."""
-    if len(rows) < 2:
+def _compared(rows: list[tuple[bool, int, int, bytes]], least: float, out: tuple[list[int], list[int]]) -> None:
+    """Adds a spanning forest, beside the known parts, of the links between the rows of two blocks."""
+    left, right = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+    if not left or not right:
         return
-    sets = [np.frombuffer(s, np.uint64) for _, _, s in rows]
-    if len(rows) == 2:
-        x, y = sets
-        small, large = sorted((len(x), len(y)))
-        # a pair in one group is of both its blocks; sizes alone may rule it out
-        if small >= least * large - 1e-6:
-            common = small + large - len(np.unique(np.concatenate((x, y))))
-            if common >= least * (small + large - common) - 1e-6:
-                out_a.append(rows[0][1])
-                out_b.append(rows[1][1])
-        return
-    left = [n for n, r in enumerate(rows) if r[0] == key[1]]
-    right = [n for n, r in enumerate(rows) if r[0] == key[2]]
-    a, b = similar_pairs([sets[n] for n in left], [sets[n] for n in right], least)
-    forest = _Forest(len(rows))
-    forest.add(np.array(left, np.int64)[a], np.array(right, np.int64)[b])
-    for n in np.flatnonzero(forest.root != np.arange(len(rows))).tolist():
-        out_a.append(rows[n][1])
-        out_b.append(rows[int(forest.root[n])][1])
-
-
-def repeated(df: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(id, elsewhere, again): hashes of the units of each document that are kept in another one, and of those that it has more than once and keeps."""
-    spark = df.sparkSession
-    small_batches(spark)
+    a, b = similar_pairs([np.frombuffer(r[3], np.uint64) for r in left], [np.frombuffer(r[3], np.uint64) for r in right], least)
+    known: dict[int, int] = {}
+    part = np.array([known.setdefault(r[2], len(known)) for r in (*left, *right)], np.int64)
+    up = list(range(len(known)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    apart = part[a] != part[len(left) + b]
+    for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+        p, q = root(int(part[x])), root(int(part[len(left) + y]))
+        if p != q:
+            up[p] = q
+            out[0].append(left[x][1])
+            out[1].append(right[y][1])
+
+
+def paragraph_roots(docs: DataFrame, cuts: Cuts, least: float, recall: float) -> DataFrame | None:
+    """(node, root): paragraphs, by the hash of their digest, with the least of their component; None if no band has two paragraphs."""
+    spark, shape = docs.sparkSession, bands(least, recall)
+    keys = cuts.cut(_bands(docs, shape).groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("k"))
+    n = keys.count()
+    if not n:
+        return None
+    found = cuts.cut(_bands(docs, shape, spark.sparkContext.broadcast(Bits.build(keys, "k", n))))
+    members = cuts.cut(found.where("k is not null").select("k", "node").join(keys, "k", "left_semi").distinct())
+    sets = cuts.cut(found.where("k is null").select("node", "shingles").dropDuplicates(["node"]))
+    roots = components(cuts.cut(links(members, sets, cuts, least)), cuts)
+    for table in (keys, found, members, sets):
+        cuts.drop(table)
+    return cuts.cut(roots.union(roots.select("root", "root")).distinct())
+
+
+def repeated(df: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(id, h, lines): the digests of each row's paragraphs that an earlier document has, or has near copies of."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    keys = cuts.cut(_bands(docs).groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("k"))
-    n_keys = keys.count()
-    if n_keys:
-        some = spark.sparkContext.broadcast(Bits.build(keys, "k", n_keys))
-        roots = components(cuts.cut(_links(_bands(docs, some), cuts, least)), cuts)
-        roots = roots.union(roots.select("root", "root")).distinct()
-    else:
-        roots = keys.select(F.col("k").alias("node"), F.col("k").alias("root"))
-    counted = _occurrences(docs, kind).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    known = cuts.cut(counted.join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", "root"))
-    least_ids = cuts.cut(known.where("root is not null").groupBy("root").agg(F.min("first").alias("least")))
-    known = cuts.cut(known.join(least_ids, "root", "left").select("h", F.coalesce("least", "first").alias("first")))
-    n = known.count()
-    passing = _occurrences(docs, kind, spark.sparkContext.broadcast(Bits.build(known, "h", max(1, n))))
-    gone = passing.join(known, "h").where("id != first or again")
-    other = F.col("id") != F.col("first")
-    return gone.groupBy("id").agg(F.collect_set(F.when(other, F.col("h"))).alias("elsewhere"), F.collect_set(F.when(~other, F.col("h"))).alias("again"))
-
-
-def _spans(units: Units, words: np.ndarray, text: int, pieces: tuple[int, int], lines: tuple[int, int], numbers: list[int]) -> list[tuple[int, int]]:
-    """Stretches of bytes of one of the texts that its numbered units make up, as far as they are long enough. ``pieces`` and ``lines`` say which are the text's."""
-    begin, end = int(units.text_start[text]), int(units.text_start[text + 1]) - 1
-    marked = np.zeros(pieces[1] - pieces[0], bool)
-    marked[[x for x in numbers if x >= 0]] = True
-    out = [(int(units.line[lines[0] - 1 - x]), int(units.line[lines[0] - x])) for x in numbers if x < 0]
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], marked, [0]))))
-    for i, j in zip((edges[::2] + pieces[0]).tolist(), (edges[1::2] + pieces[0]).tolist()):
-        if words[i:j].sum() >= RUN_WORDS:
-            out.append((int(units.piece[i]), int(units.piece[j])))
-    joined: list[tuple[int, int]] = []
-    for a, b in sorted((a - begin, min(b, end) - begin) for a, b in out):
-        if joined and a <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-        elif b > a:
-            joined.append((a, b))
-    return joined
-
-
-def spans_to_cut(texts: list[bytes], chosen) -> list[list[tuple[int, int]]]:
-    """What goes of each text. ``chosen(text, units)`` takes a text's number and its units as (hash, number), in order, and gives the numbers of those that go."""
-    if not texts:
-        return []
+    docs = _keyed(df, id_col, text_col)
+    roots = paragraph_roots(docs, cuts, least, recall)
+    rows = cuts.cut(paragraph_rows(docs, kind))
+    known = _shared(rows, "d")
+    if roots is None:
+        return _of_each(rows, cuts.cut(known.where("shared")), "d", "lines")
+    known = cuts.cut(known.withColumn("node", F.xxhash64("d")).join(roots, "node", "left").where("shared or root is not null"))
+    # a node of several digests is none; its paragraphs match exactly
+    clear = known.where("root is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("root").alias("root"), F.min("first").alias("first")).where("n = 1")
+    clear = cuts.cut(clear.select("node", "root", "first"))
+    earliest = cuts.cut(clear.groupBy("root").agg(F.min("first").alias("least")))
+    least_of = cuts.cut(clear.join(earliest, "root").select("node", "least"))
+    known = cuts.cut(known.join(least_of, "node", "left").select("d", F.coalesce("least", "first").alias("first")))
+    return _of_each(rows, known, "d", "lines")
+
+
+def line_spans(texts: list[bytes], gone: list[set[bytes]], least_words: int = RUN_WORDS) -> list[list[tuple[int, int]]]:
+    """Stretches of bytes of each text that go: runs of lines with the given digests, of ``least_words`` words or more. Blank lines don't end a run."""
     units = Units(texts)
-    h, text, number = _looked_up(units)
-    h, number, words = h.view(np.int64).tolist(), number.tolist(), units.words(units.piece)
-    found: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for k, t in enumerate(text.tolist()):
-        found[t].append((h[k], number[k]))
-    first_piece = np.searchsorted(units.piece[:-1], units.text_start).tolist()
-    first_line = np.searchsorted(units.line[:-1], units.text_start).tolist()
-    out = []
-    for t, own in enumerate(found):
-        numbers = chosen(t, own)
-        out.append(_spans(units, words, t, (first_piece[t], first_piece[t + 1]), (first_line[t], first_line[t + 1]), numbers) if numbers else [])
+    words = np.diff(units.first)
+    lines = units.paragraphs()
+    marked = np.zeros(len(words), bool)
+    marked[lines] = [d in gone[t] for t, d in zip(units.line_text[lines].tolist(), units.digests(units.first[lines], units.first[lines + 1]))]
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    telling = np.flatnonzero(marked | (words > 0))
+    on = marked[telling]
+    new = np.ones(len(telling), bool)
+    new[1:] = (on[1:] != on[:-1]) | (units.line_text[telling][1:] != units.line_text[telling][:-1])
+    begin = np.flatnonzero(new)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(telling)]):
+        if on[a] and words[telling[a:b]].sum() >= least_words:
+            t = int(units.line_text[telling[a]])
+            base, stop = int(units.text_start[t]), int(units.text_start[t + 1]) - 1
+            out[t].append((int(units.line[telling[a]]) - base, min(int(units.line[telling[b - 1] + 1]), stop) - base))
     return out
 
 
-def _choice(elsewhere: list[list[int] | None], again: list[list[int] | None]):
-    """All units that are kept elsewhere, and all but the first of those that a text repeats."""
-
-    def chosen(text: int, units: list[tuple[int, int]]) -> list[int]:
-        gone, repeats, seen, out = set(elsewhere[text] or ()), set(again[text] or ()), set(), []
-        for h, n in units:
-            if h in gone or h in repeats and h in seen:
-                out.append(n)
-            seen.add(h)
-        return out
-
-    return chosen
-
-
-def _ids(text: np.ndarray, h: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-    """(h, id), each pair of hash and text once."""
-    order = np.lexsort((h, text))
-    text, h = text[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return pa.RecordBatch.from_arrays([_long(h[new]), ids.take(pa.array(text[new]))], ["h", "id"])
+def _windows(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all windows within a text, the words that they begin with, and their texts."""
+    text = np.searchsorted(units.text_start, units.begins, side="right") - 1
+    if len(text) < WINDOW:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, have, want = sequence_hashes(units.hashes, ANCHOR), 1, WINDOW - ANCHOR + 1
+    while have < want:
+        step = min(have, want - have)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        have += step
+    at = np.flatnonzero(text[: len(least)] == text[WINDOW - 1 :])
+    return least[at], at, text[at]
 
 
 def shared_windows(df: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> DataFrame | None:
-    """(id, windows): hashes of the windows of each document that a document before it has; None if no anchor is shared."""
+    """(id, h, windows): digests of the windows of each row that an earlier document has; None if no anchor is shared."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    docs = _keyed(df, id_col, text_col)
 
-    def found(some: object | None):
-        def run(batches):
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    units = Units(text_bytes(part.column(1)))
-                    anchor, at, text = _windows(units)
-                    if some is not None:
-                        keep = np.flatnonzero(some.value(anchor))
-                        if not len(keep):
-                            continue
-                        anchor, text = _window_hashes(units.word_hashes[0], WINDOW)[at[keep]], text[keep]
-                    yield _ids(text, anchor, part.column(0))
-
-        return docs.mapInArrow(run, f"h long, id {kind}")
-
-    def shared(rows):
-        return cuts.cut(rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("h", "first"))
-
-    keys = shared(found(None))
+    def anchors(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                anchor, _, text = _windows(Units(text_bytes(part.column(2))))
+                new = np.ones(len(anchor), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])  # neighbours mostly share theirs
+                yield pa.RecordBatch.from_arrays([_long(anchor[new]), part.column(0).take(pa.array(text[new]))], ["a", "id"])
+
+    keys = cuts.cut(_shared(map_batches(docs, anchors, f"a long, id {kind}"), "a").where("shared").select("a"))
     n = keys.count()
     if not n:
         return None
-    windows = cuts.cut(found(spark.sparkContext.broadcast(Bits.build(keys, "h", n))))
-    known = shared(windows)
-    return cuts.cut(windows.join(known, "h").where("id != first").groupBy("id").agg(F.collect_set("h").alias("windows")))
-
+    some = spark.sparkContext.broadcast(Bits.build(keys, "a", n))
 
-def window_spans(texts: list[bytes], gone: list[list[int]]) -> list[list[tuple[int, int]]]:
-    """Stretches of bytes of each text that its windows with the given hashes make up. A stretch goes up to the next word, or to the line's end."""
+    def around(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                units = Units(text_bytes(part.column(2)))
+                anchor, at, text = _windows(units)
+                keep = some.value(anchor)
+                low, text = at[keep], text[keep]
+                each = sorted(set(zip(text.tolist(), units.digests(low, low + WINDOW)))) if len(low) else []
+                for begin in range(0, len(each), 1 << 16):
+                    some_of = each[begin : begin + (1 << 16)]
+                    owner = pa.array([t for t, _ in some_of], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([d for _, d in some_of], pa.binary()), part.column(0).take(owner), part.column(1).take(owner)], ["d", "id", "h"])
+
+    rows = cuts.cut(map_batches(docs, around, f"d binary, id {kind}, h long"))
+    return _of_each(rows, cuts.cut(_shared(rows, "d").where("shared")), "d", "windows")
+
+
+def window_spans(texts: list[bytes], gone: list[set[bytes]]) -> list[list[tuple[int, int]]]:
+    """Stretches of bytes of each text that its windows with the given digests make up. A stretch goes up to the next word, or to the line's end."""
     units = Units(texts)
     _, at, text = _windows(units)
-    h = _window_hashes(units.word_hashes[0], WINDOW).view(np.int64)[at]
-    begins = units.word_hashes[1]
-    newline = np.append(units.line[1:] - 1, len(units.data) - 1)
-    first = np.searchsorted(text, np.arange(len(texts) + 1))
-    out = []
-    for t, hashes in enumerate(gone):
-        here = slice(first[t], first[t + 1])
-        spans: list[tuple[int, int]] = []
-        for a in at[here][np.isin(h[here], np.array(hashes, np.int64))].tolist():
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], a + WINDOW)
+    digests = units.digests(at, at + WINDOW) if len(at) else []
+    newline = units.line[1:] - 1
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for a, t, d in zip(at.tolist(), text.tolist(), digests):
+        if d in gone[t]:
+            if spans[t] and a <= spans[t][-1][1]:
+                spans[t][-1] = (spans[t][-1][0], a + WINDOW)
             else:
-                spans.append((a, a + WINDOW))
-        base = int(units.text_start[t])
-        ends = [int(min(newline[np.searchsorted(newline, begins[b - 1])], begins[b] if b < len(begins) else len(units.data))) for _, b in spans]
-        out.append([(int(begins[a]) - base, e - base) for (a, _), e in zip(spans, ends)])
+                spans[t].append((a, a + WINDOW))
+    out = []
+    for t, found in enumerate(spans):
+        base, begins = int(units.text_start[t]), units.begins
+        ends = [int(min(newline[np.searchsorted(newline, begins[b - 1])], begins[b] if b < len(begins) else len(units.data))) for _, b in found]
+        out.append([(int(begins[a]) - base, e - base) for (a, _), e in zip(found, ends)])
     return out
 
 
@@ -523,54 +523,36 @@ def _joined(old: list[int], new: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``df`` with the passages cut out of the texts, and with ``cut_spans``: begins and ends, in turn, of what was cut, in bytes of the old text."""
-    cuts = Cuts(df.sparkSession)
-    names = df.columns
-    left = cuts.cut(_without_units(df, id_col, text_col, least))
-    gone = shared_windows(left, cuts, id_col, text_col)
-    if gone is None:
-        return left
-    gone = gone.select(F.col("id").alias("__id"), F.col("windows").alias("__windows"))
-    joined = left.join(gone, left[id_col] == gone["__id"], "left").select(*(left[c] for c in names), left["cut_spans"], "__windows")
-    at = names.index(text_col)
+def _without(df: DataFrame, gone: DataFrame, column: str, find, id_col: str, text_col: str, spans_col: str) -> DataFrame:
+    """``df`` without what ``find(texts, digests of each)`` gives as spans; ``gone`` has the digests of the rows that lose something."""
+    at, names = df.columns.index(text_col), df.columns
+    where, key = names.index(spans_col), [fresh(n, df) for n in ("id", "h", column)]
+    other = gone.select(F.col("id").alias(key[0]), F.col("h").alias(key[1]), F.col(column).alias(key[2]))
+    # texts are dealt by their keys at every size, so that the plan is the same for all
+    joined = df.join(other.hint("merge"), df[id_col].eqNullSafe(other[key[0]]) & (row_hash(df) == other[key[1]]), "left").select(*(df[f"`{c}`"] for c in names), key[2])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans, windows = (batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))
-        rows = [i for i, t in enumerate(texts) if t is not None and windows[i]]
-        data = [texts[i].encode() for i in rows]
-        for i, old, cut in zip(rows, data, window_spans(data, [windows[i] for i in rows]) if rows else []):
-            edges = [0, *(x for s in cut for x in s), len(old)]
-            texts[i] = b"".join(old[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
-            spans[i] = _joined(spans[i], cut)
-        columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.int32()))], [*names, "cut_spans"])
+        lost = batch.column(len(names)).to_pylist()
+        rows = [i for i, x in enumerate(lost) if x]
+        columns = list(batch.columns[: len(names)])
+        if rows:
+            texts, spans = columns[at].to_pylist(), columns[where].to_pylist()
+            data = [texts[i].encode() for i in rows]
+            for i, old, cut in zip(rows, data, find(data, [set(lost[i]) for i in rows])):
+                edges = [0, *(x for s in cut for x in s), len(old)]
+                texts[i] = b"".join(old[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
+                spans[i] = _joined(spans[i], cut)
+            columns[at], columns[where] = pa.array(texts, columns[at].type), pa.array(spans, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_chunks(joined, run, left.schema, text_col)
+    return map_chunks(joined, run, df.schema, text_col)
 
 
-def _without_units(df: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """``df`` without pieces and paragraphs that are kept elsewhere, and with ``cut_spans``."""
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, recall: float = RECALL, least_words: int = RUN_WORDS) -> DataFrame:
+    """``df`` with the passages cut out of the texts, and with ``cut_spans``: begins and ends, in turn, of what was cut, in bytes of the old text."""
     cuts = Cuts(df.sparkSession)
-    gone = cuts.cut(repeated(df, cuts, id_col, text_col, least)).select(F.col("id").alias("__id"), "elsewhere", "again")
-    gone = gone.select("__id", F.col("elsewhere").alias("__elsewhere"), F.col("again").alias("__again"))
-    names = df.columns
-    joined = df.join(gone, df[id_col] == gone["__id"], "left").select(*(df[c] for c in names), "__elsewhere", "__again")
-    at = names.index(text_col)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(at).to_pylist()
-        elsewhere, again = (batch.column(len(names) + i).to_pylist() for i in (0, 1))
-        rows = [i for i, t in enumerate(texts) if t is not None and (elsewhere[i] or again[i])]
-        spans: list[list[int]] = [[] for _ in texts]
-        data = [texts[i].encode() for i in rows]
-        for i, old, cut in zip(rows, data, spans_to_cut(data, _choice([elsewhere[i] for i in rows], [again[i] for i in rows]))):
-            if cut:
-                edges = [0, *(x for s in cut for x in s), len(old)]
-                texts[i] = b"".join(old[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
-                spans[i] = edges[1:-1]
-        columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.int32()))], [*names, "cut_spans"])
-
-    schema = joined.select(*names).schema.add("cut_spans", T.ArrayType(T.IntegerType()))
-    return map_chunks(joined, run, schema, text_col)
+    whole = df.withColumn("cut_spans", F.array().cast("array<int>"))
+    gone = cuts.cut(repeated(whole, cuts, id_col, text_col, least, recall))
+    left = cuts.cut(_without(whole, gone, "lines", lambda texts, lost: line_spans(texts, lost, least_words), id_col, text_col, "cut_spans"))
+    gone = shared_windows(left, cuts, id_col, text_col)
+    return left if gone is None else _without(left, cuts.cut(gone), "windows", window_spans, id_col, text_col, "cut_spans")
