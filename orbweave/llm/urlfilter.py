@@ -10,10 +10,14 @@ level is built where the keys are: tasks set bits, an aggregation ors them, and
 Three lists have a cascade each: rules that block, rules that allow, and blocked domains. The longest rule that
 fits a URL gives its verdict; a URL that no rule fits is blocked if its host or a parent domain is listed.
 
-The universe is divided by a hash of the key into as many shards as keep each level under ``LEVEL_BYTES``, and
-URLs are looked up in one pass per shard. Null URLs and those without ``://`` have an empty host and path, no
-rule, and are allowed. Repeated URLs and rules are no special case; a rule that is listed for blocking and
-allowing is taken as blocking. Other columns are neither read nor returned; the id column may have any type.
+Keys of the corpus and of the lists meet in the one aggregation that makes the corpus's keys distinct, so neither
+building a cascade nor looking a URL up is a join. A level has as many bits a key as make its false positives about as
+many as its keys, so a cascade's size follows the listed keys and only by its logarithm the universe. With more listed keys than
+``SHARD_KEYS`` they are divided by a hash of the key, and URLs are looked up in one pass per shard.
+
+Null URLs and those without ``://`` have an empty host and path, no rule, and are allowed. Repeated URLs and rules are no
+special case; a rule that is listed for blocking and allowing is taken as blocking. Other columns are neither read nor
+returned; the id column may have any type, and its values may be null.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Cuts, map_chunks
+from orbweave.llm.common import Cuts, map_batches, map_chunks
 
-#: Bits per key and hashes of a level: about one key in 140 passes that shouldn't.
-BITS, HASHES = 10, 7
-#: A level's size when its cascade is sent to tasks; with more keys the universe is cut into shards.
-LEVEL_BYTES = 16 << 20
+#: Least and most bits per key of a level: between one key in 140 and one in 2 * 10^9 passes that shouldn't.
+BITS, MOST_BITS = 10, 45
+#: Listed keys of a shard; its cascades, of about 2 to 6 bytes a key, are sent to every task.
+SHARD_KEYS = 8_000_000
 MOST_LEVELS = 64
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -71,19 +75,20 @@ def rule_keys(host: str, path: str, prefixes: tuple[int, ...]) -> list[str]:
     return sorted(found, key=len, reverse=True)
 
 
-def _places(key: bytes, level: int, bits: int) -> list[int]:
+def _places(key: bytes, level: int, bits: int, hashes: int) -> list[int]:
     h = xxhash.xxh3_128_intdigest(key, level)
     a, b = h >> 64, h | 1
-    return [((a + i * b) & 0xFFFFFFFFFFFFFFFF) % bits for i in range(HASHES)]
+    return [((a + i * b) & 0xFFFFFFFFFFFFFFFF) % bits for i in range(hashes)]
 
 
 @dataclass(frozen=True)
 class Cascade:
-    levels: tuple[bytes, ...]
+    #: (bits, hashes) of each level.
+    levels: tuple[tuple[bytes, int], ...]
 
     def passes(self, key: bytes, level: int) -> bool:
-        data = self.levels[level]
-        return all(data[p >> 3] >> (p & 7) & 1 for p in _places(key, level, 8 * len(data)))
+        data, hashes = self.levels[level]
+        return all(data[p >> 3] >> (p & 7) & 1 for p in _places(key, level, 8 * len(data), hashes))
 
     def __contains__(self, key: bytes) -> bool:
         for level in range(len(self.levels)):
@@ -92,23 +97,22 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
 
-def _bits_of(keys: DataFrame, n: int, level: int) -> bytes:
-    """A Bloom filter of the ``n`` strings in the column ``key``."""
-    size = max(1, -(-n * BITS // 64)) * 64
+def _bits_of(keys: DataFrame, n: int, per_key: int, level: int) -> tuple[bytes, int]:
+    """A Bloom filter of the ``n`` strings in the column ``key``, and its number of hashes."""
+    size, hashes = max(1, -(-n * per_key // 64)) * 64, max(1, round(0.69 * per_key))
 
     def run(batches):
-        found: dict[int, int] = {}
         for batch in batches:
+            found: dict[int, int] = {}
             for key in batch.column(0).to_pylist():
-                for p in _places(key.encode(), level, size):
+                for p in _places(key.encode(), level, size, hashes):
                     found[p >> 6] = found.get(p >> 6, 0) | 1 << (p & 63)
-        words = np.array(list(found.values()), np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(words)], ["at", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(np.array(list(found.values()), np.uint64).view(np.int64))], ["at", "word"])
 
     words = np.zeros(size // 64, np.int64)
-    for r in keys.select("key").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
+    for r in map_batches(keys.select("key"), run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
         words[r["at"]] = r["word"]
-    return words.astype("<i8").tobytes()
+    return words.astype("<i8").tobytes(), hashes
 
 
 def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
@@ -116,30 +120,31 @@ def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([cascade.passes(k.encode(), level) for k in batch.column(0).to_pylist()], pa.bool_()))
 
-    return keys.mapInArrow(run, "key string")
+    return map_batches(keys, run, "key string")
 
 
 def build(listed: DataFrame, others: DataFrame, cuts: Cuts) -> Cascade:
     """The cascade that tells the distinct strings of ``listed`` from those of ``others`` (a column ``key`` each)."""
-    levels: list[bytes] = []
-    inside, outside = listed, others
-    while len(levels) < MOST_LEVELS:
-        n = inside.count()
-        if not n:
-            break
-        levels.append(_bits_of(inside, n, len(levels)))
+    levels: list[tuple[bytes, int]] = []
+    inside, outside, n, m = listed, others, listed.count(), others.count()
+    while n and len(levels) < MOST_LEVELS:
+        per_key = min(MOST_BITS, max(BITS, int(np.ceil(1.4427 * np.log2(max(2, m / n))))))
+        levels.append(_bits_of(inside, n, per_key, len(levels)))
         inside, outside = cuts.cut(_passing(outside, Cascade(tuple(levels)), len(levels) - 1)), inside
-    else:
+        n, m = inside.count(), n
+    if n:
         raise ValueError("the cascade doesn't end; are the two sets disjoint?")
     return Cascade(tuple(levels))
 
 
 def _shard(key: bytes, shards: int) -> int:
-    return xxhash.xxh3_64_intdigest(key, 0xCA5CADE) % shards
+    """As xxhash64 and pmod in SQL."""
+    h = xxhash.xxh64_intdigest(key, 42)
+    return (h - (h >> 63 << 64)) % shards
 
 
 def judge(
-    df: DataFrame, block: Iterable[str], allow: Iterable[str], blocklist: DataFrame | Iterable[str], id_col: str = "page_id", url_col: str = "url", level_bytes: int = LEVEL_BYTES
+    df: DataFrame, block: Iterable[str], allow: Iterable[str], blocklist: DataFrame | Iterable[str], id_col: str = "page_id", url_col: str = "url", shard_keys: int = SHARD_KEYS
 ) -> DataFrame:
     """id, ``host``, ``path``, ``rule`` and ``verdict`` of every row. ``blocklist``: domains, or a table with a column of them."""
     spark: SparkSession = df.sparkSession
@@ -150,7 +155,9 @@ def judge(
     prefixes = tuple(sorted({len(split_rule(r)[1]) for r in (*block, *allow)}))
     if not isinstance(blocklist, DataFrame):
         blocklist = spark.createDataFrame([(d,) for d in sorted(set(blocklist))], "domain string")
-    named = blocklist.select(F.translate(F.col(blocklist.columns[0]), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("key")).where("key is not null").distinct()
+    domain = F.translate(F.col(f"`{blocklist.columns[0]}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    listed = blocklist.select(F.concat(F.lit("D"), domain).alias("key"), F.lit("D").alias("list")).where("key is not null")
+    listed = listed.union(spark.createDataFrame([("R" + r, k) for k in "BA" for r in sorted(rules[k])], "key string, list string"))
 
     def keys(batches):
         """Distinct keys of each batch: R and a rule's, D and a domain's."""
@@ -162,17 +169,15 @@ def judge(
                 seen.update("D" + k for k in domains(host))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["key"])
 
-    universe = cuts.cut(df.select(url_col).mapInArrow(keys, "key string").distinct())
-    n = universe.count()
-    shards = max(1, -(-n * BITS // (8 * level_bytes)))
-    rule_rows = spark.createDataFrame([(k, "R" + r) for k in "BA" for r in sorted(rules[k])] or [("B", None)], "list string, key string")
-    marked = universe.join(F.broadcast(rule_rows), "key", "left").join(named.select(F.concat(F.lit("D"), "key").alias("key"), F.lit(True).alias("named")), "key", "left")
-    marked = cuts.cut(marked.select("key", F.coalesce("list", F.when(F.col("named"), F.lit("D"))).alias("list")))
+    own = map_batches(df.select(url_col), keys, "key string").withColumn("list", F.lit(None).cast("string"))
+    marked = own.union(listed).groupBy("key").agg(F.max("list").alias("list"))
+    n = listed.count()
+    shards = max(1, -(-n // shard_keys))
+    marked = cuts.cut(marked.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")))
 
     out = df.select(F.col(id_col), F.col(url_col).alias("url")).withColumns({"rule": F.lit(None).cast("string"), "list": F.lit(None).cast("string")})
     for shard in range(shards):
-        part = marked if shards == 1 else marked.mapInArrow(lambda batches, shard=shard: (b.filter(pa.array([_shard(k.encode(), shards) == shard for k in b.column(0).to_pylist()], pa.bool_())) for b in batches), "key string, list string")
-        part = part if shards == 1 else cuts.cut(part)
+        part = marked.where(F.col("shard") == shard)
         made = {}
         for name, kind_of in (("B", "R"), ("A", "R"), ("D", "D")):
             mine = part.where(F.col("key").startswith(kind_of))

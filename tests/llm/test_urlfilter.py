@@ -26,8 +26,8 @@ def brute(url):
 
 def test_verdicts(spark):
     df = spark.createDataFrame(list(enumerate(URLS + URLS)), "page_id long, url string").selectExpr("*", "'x' AS host", "'y' AS rule")
-    for level_bytes in (U.LEVEL_BYTES, 8):
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge(df, BLOCK, ALLOW, LIST, level_bytes=level_bytes).collect()}
+    for shard_keys in (U.SHARD_KEYS, 1):
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge(df, BLOCK, ALLOW, LIST, shard_keys=shard_keys).collect()}
         assert got == {i: brute(u) for i, u in enumerate(URLS + URLS)}
     assert U.judge(df.limit(0), BLOCK, ALLOW, LIST).count() == 0
     nothing = U.judge(df, (), (), spark.createDataFrame([(None,)], "domain string")).collect()
@@ -42,11 +42,26 @@ def test_a_cascade_is_exact_over_its_universe(spark, monkeypatch):
     made = U.build(spark.createDataFrame([(k,) for k in listed], "key string"), spark.createDataFrame([(k,) for k in others], "key string"), Cuts(spark))
     assert len(made.levels) > 2
     assert all(k.encode() in made for k in listed) and not any(k.encode() in made for k in others)
-    assert sum(map(len, made.levels)) < 4_000
+    assert sum(len(bits) for bits, _ in made.levels) < 4_000
     empty = spark.createDataFrame([], "key string")
     assert b"x" not in U.build(empty, empty, Cuts(spark))
 
 
+def test_a_level_grows_with_the_logarithm_of_the_universe(spark):
+    few = spark.createDataFrame([(f"bad{i}",) for i in range(10)], "key string")
+    many = spark.range(40_000).selectExpr("concat('good', id) AS key")
+    made = U.build(few, many, Cuts(spark))
+    assert sum(len(bits) for bits, _ in made.levels) < 300
+    assert all(f"bad{i}".encode() in made for i in range(10)) and not any(f"good{i}".encode() in made for i in range(40_000))
+
+
+def test_null_ids_and_very_long_urls(spark):
+    urls = ["http://" + "a." * 3_000 + "net/" + "p" * 50_000, "http://" + "h" * 100_000, "x" * 100_000 + "://b.org/fr/"] + URLS
+    df = spark.createDataFrame([(None if i < 2 else 7, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge(df, BLOCK, ALLOW, LIST).collect()), key=str)
+    assert got == sorted(((None if i < 2 else 7, *brute(u)) for i, u in enumerate(urls)), key=str)
+
+
 def test_pieces():
     assert U.domains("a.b.c") == ["a.b.c", "b.c", "c"] and U.domains("") == [] and U.domains("a.") == ["a."]
     assert U.split_url("HTTP://A.b/P?q") == ("a.b", "/P")
