@@ -5,9 +5,14 @@ of its two neighbours; the chain adds weights for the change from one label to t
 each line's probability to be good, and a document's quality is their mean weighted by the lines' lengths,
 passed through a logistic curve fitted to the labels.
 
-The field is fitted to the documents' labels, which every line of a document takes on, on a bounded sample:
-about ``TRAIN_DOCS`` labelled documents chosen by a hash of the id, at most ``TRAIN_LINES`` consecutive lines
-each (from a start chosen by the hash). Scoring reads all lines of all documents.
+Only documents have labels; those of their lines are latent. Training first takes each line for what its document is, which is
+convex, and from there maximises the likelihood of the documents' labels themselves, given by the length-weighted means
+of the lines' marginals, so a line may come out otherwise than its document and the chain learns what follows what. The
+gradient of a weighted sum of marginals is the derivative of the marginals in the direction of the weights (the
+Hessian of the log-partition function is symmetric), so it takes two more runs of forward-backward and no more.
+
+The field is fitted on a bounded sample: about ``TRAIN_DOCS`` labelled documents chosen by a hash of the id among those of
+at most ``TRAIN_CHARS`` characters, with all their lines. Scoring reads all lines of all documents.
 
 Nulls and empty texts are one empty line and scored as such. A document whose id is repeated among the labels
 takes their least quality; null labels are ignored. Without labels of both kinds every score is 0.5. Repeated
@@ -26,9 +31,9 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import learnable, map_chunks, text_bytes
 
-TRAIN_DOCS = 3_000
-TRAIN_LINES = 48
-ROUNDS = 250
+TRAIN_DOCS, TRAIN_CHARS = 3_000, 50_000
+#: Steps with the documents' labels on every line, and with latent ones.
+ROUNDS, LATENT_ROUNDS = 100, 100
 THRESHOLD = 0.7
 #: Classes of bytes: 0 newline, 1 white space, 2 lower case, 3 upper case, 4 digits, 5 past ASCII, then signs.
 _SIGNS = [".", ",;:", "!?", "|", "#$%&*@^~", "'\"`-", "()[]{}<>", "/\\=+_"]
@@ -165,8 +170,7 @@ class LineField:
 
     def document_means(self, own: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
         good, _, _ = forward_backward(with_neighbours((own - self.mean) / self.scale, first) @ self.weights, self.change, first)
-        weight = length + 1
-        return np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+        return _document_means(good, length + 1, first)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         means = np.clip(self.document_means(*line_features(texts)), 1e-6, 1 - 1e-6)
@@ -183,8 +187,25 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(own: np.ndarray, length: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> LineField:
-    """Maximum conditional likelihood with shrinkage, by Adam."""
+def _document_means(good: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+
+
+def latent_gradient(energy: np.ndarray, change: np.ndarray, first: np.ndarray, length: np.ndarray, labels: np.ndarray, step: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of the documents' labels, and its derivatives by the lines' energies and the changes' weights."""
+    weight = length + 1
+    good, _, _ = forward_backward(energy, change, first)
+    mean = np.clip(_document_means(good, weight, first), 1e-6, 1 - 1e-6)
+    by_mean = np.where(labels == 1, 1 / mean, -1 / (1 - mean)) / np.add.reduceat(weight, first[:-1])
+    along = np.repeat(by_mean, np.diff(first)) * weight
+    size = step / max(1e-12, float(np.abs(along).max()))
+    up, up_pairs, _ = forward_backward(energy + size * along, change, first)
+    down, down_pairs, _ = forward_backward(energy - size * along, change, first)
+    return float(np.log(np.where(labels == 1, mean, 1 - mean)).sum()), (up - down) / (2 * size), (up_pairs - down_pairs) / (2 * size)
+
+
+def train(own: np.ndarray, length: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, latent_rounds: int = LATENT_ROUNDS) -> LineField:
+    """Maximum conditional likelihood with shrinkage, by Adam: of the lines' labels as their documents', then of the documents' alone."""
     mean, scale = own.mean(axis=0), own.std(axis=0) + 1e-3
     x = with_neighbours((own - mean) / scale, first)
     y = np.repeat(labels.astype(np.float64), np.diff(first))
@@ -192,9 +213,14 @@ def train(own: np.ndarray, length: np.ndarray, first: np.ndarray, labels: np.nda
     seen = np.array([[same[labels == 0].sum(), 0], [0, same[labels == 1].sum()]], float)
     w, change = np.zeros(x.shape[1]), np.zeros((2, 2))
     m = v = np.zeros(len(w) + 4)
-    for step in range(1, rounds + 1):
-        good, pairs, _ = forward_backward(x @ w, change, first)
-        gradient = np.concatenate((x.T @ (y - good) / len(x) - 1e-4 * w, ((seen - pairs) / len(x) - 1e-4 * change).ravel()))
+    for step in range(1, rounds + latent_rounds + 1):
+        if step <= rounds:
+            good, pairs, _ = forward_backward(x @ w, change, first)
+            by_energy, by_change, n = y - good, seen - pairs, len(x)
+        else:
+            _, by_energy, by_change = latent_gradient(x @ w, change, first, length, labels)
+            n = len(labels)
+        gradient = np.concatenate((x.T @ by_energy / n - 1e-4 * w, (by_change / n - 1e-4 * change).ravel()))
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, change = w + move[:-4], change + move[-4:].reshape(2, 2)
@@ -203,26 +229,23 @@ def train(own: np.ndarray, length: np.ndarray, first: np.ndarray, labels: np.nda
     return LineField(mean, scale, w, change, _curve(np.log(means / (1 - means)), labels.astype(float)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> LineField | None:
-    """Learns from the labelled documents that aren't held out; None if they don't have both labels."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> LineField | None:
+    """Learns from the labelled documents that aren't held out; None if they don't have both labels. Of rows of one id one text counts."""
     known = labels.where(F.col(label_col).isNotNull() & learnable(F.col(label_id)))
     known = known.groupBy(F.col(label_id).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     n = known.count()
     level = 1 << 20
     chosen = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(level)) < (level if n <= train_docs else train_docs * level // n))
     # of about train_docs rows, whatever the input
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.xxhash64(F.col("id").cast("string")).alias("h"), "text", "label")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.length("text") <= train_chars)
+    rows = texts.join(F.broadcast(chosen), "id").select(F.xxhash64(F.col("id").cast("string")).alias("h"), "text", "label")
+    rows = rows.groupBy("h").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, hashes = text_bytes(batch.column(1)), batch.column(0).to_pylist()
-        own, length, first = line_features(texts)
-        features, lengths = [], []
-        for i, h in enumerate(hashes):
-            size = int(first[i + 1] - first[i])
-            a = int(first[i]) + h % max(1, size - TRAIN_LINES + 1)
-            b = min(a + TRAIN_LINES, int(first[i + 1]))
-            features.append(own[a:b].astype(np.float32).tobytes())
-            lengths.append(length[a:b].astype(np.float32).tobytes())
+        own, length, first = line_features(text_bytes(batch.column(1)))
+        parts = list(zip(first[:-1].tolist(), first[1:].tolist()))
+        features = [own[a:b].astype(np.float32).tobytes() for a, b in parts]
+        lengths = [length[a:b].astype(np.float32).tobytes() for a, b in parts]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.binary()), pa.array(lengths, pa.binary()), batch.column(2)], ["h", "own", "length", "label"])
 
     got = sorted(map_chunks(rows, run, "h long, own binary, length binary, label int").collect(), key=lambda r: (r["h"], bytes(r["own"])))

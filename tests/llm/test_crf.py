@@ -29,6 +29,62 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(pairs, want_pairs) and np.isclose(log_z, total)
 
 
+def enumerated_means(energy, change, first, length):
+    """Length-weighted means of the marginals, over all labellings."""
+    out = []
+    for a, b in zip(first, first[1:]):
+        every = list(itertools.product((0, 1), repeat=b - a))
+        w = np.array([np.exp(sum(e for e, y in zip(energy[a:b], labels) if y) + sum(change[p, q] for p, q in zip(labels, labels[1:]))) for labels in every])
+        good = (w[:, None] * np.array(every)).sum(axis=0) / w.sum()
+        out.append(sum(g * (n + 1) for g, n in zip(good, length[a:b])) / sum(n + 1 for n in length[a:b]))
+    return np.array(out)
+
+
+def test_latent_gradient_is_that_of_the_enumerated_likelihood():
+    rng = np.random.default_rng(3)
+    first, labels = np.cumsum([0, 1, 4, 3, 5]), np.array([1, 0, 1, 0])
+    energy, change, length = rng.normal(size=first[-1]), rng.normal(size=(2, 2)), rng.integers(0, 40, first[-1]).astype(float)
+
+    def likelihood(e, c):
+        m = enumerated_means(e, c, first, length)
+        return np.log(np.where(labels == 1, m, 1 - m)).sum()
+
+    value, by_energy, by_change = C.latent_gradient(energy, change, first, length, labels)
+    assert np.isclose(value, likelihood(energy, change))
+    for i in range(len(energy)):
+        step = np.eye(len(energy))[i] * 1e-5
+        assert np.isclose(by_energy[i], (likelihood(energy + step, change) - likelihood(energy - step, change)) / 2e-5, atol=1e-5)
+    for i, j in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[i, j] = 1e-5
+        assert np.isclose(by_change[i, j], (likelihood(energy, change + step) - likelihood(energy, change - step)) / 2e-5, atol=1e-5)
+
+
+def test_document_scores_equal_enumeration():
+    rng = np.random.default_rng(4)
+    field = C.LineField(rng.normal(size=C.OWN), rng.uniform(0.5, 2, C.OWN), rng.normal(size=3 * C.OWN + 1) / 3, rng.normal(size=(2, 2)), (1.3, -0.4))
+    texts = [b"One line.", b"A first line here.\n\nTHIRD 3 ###\nfourth fourth fourth", b"", b"x\ny y\nz!"]
+    own, length, first = C.line_features(texts)
+    means = enumerated_means(C.with_neighbours((own - field.mean) / field.scale, first) @ field.weights, field.change, first, length)
+    assert np.allclose(field.score(texts), 1 / (1 + (means / (1 - means)) ** -1.3 * np.exp(0.4)))
+
+
+def test_lines_come_out_otherwise_than_their_documents_and_by_their_neighbours():
+    good, bad = b"A quiet and ordinary line of plain words.", b"$$$ BUY NOW 99% !!! ### CHEAP"
+    # bad documents are mostly bad lines, with some good ones among them
+    texts = [b"\n".join([good] * 6)] * 30 + [b"\n".join([good, *[bad] * 5])] * 30
+    own, length, first = C.line_features(texts)
+    field = C.train(own, length, first, np.array([1] * 30 + [0] * 30))
+
+    def marginals(text):
+        o, _, f = C.line_features([text])
+        return C.forward_backward(C.with_neighbours((o - field.mean) / field.scale, f) @ field.weights, field.change, f)[0]
+
+    alone, among = marginals(b"\n".join([good] * 3)), marginals(b"\n".join([bad, good, bad]))
+    assert alone[1] > 0.5 > among[0] and abs(alone[1] - among[1]) > 0.01
+    assert field.score([texts[0]])[0] > 0.7 > field.score([texts[-1]])[0]
+
+
 def test_features_of_lines():
     texts = [b"Hello there World.\nhello hello hello\n\nHello there World.", b"", b"ABC 123 |\t!"]
     own, length, first = C.line_features(texts)
@@ -76,5 +132,9 @@ def test_odd_rows(spark):
         if r["doc_id"] in (0, 1):
             by[r["doc_id"]] = r["score"]
     assert by[0] == by[1]
+    # other columns of the labels may have any name, and one id very many rows
+    clash = labels.selectExpr("*", "'x' AS text", "'y' AS id", "0 AS label", "1 AS h")
+    again = C.fit(df.union(spark.range(3_000).selectExpr("3L", "concat('row ', id)", *["'z'" if f.dataType.simpleString() == "string" else "0L" for f in df.schema.fields[2:]])), clash)
+    assert again is not None and C.fit(df, clash).curve == field.curve
     assert C.fit(df, labels.limit(0)) is None and {r["score"] for r in C.score(df, None).collect()} == {0.5}
     assert C.score(docs_frame(spark, []), field).count() == 0
