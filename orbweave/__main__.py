@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import time
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.operators import nbody, neighbours
@@ -34,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> str:
     args = parser().parse_args(argv)
-    spark = get_session()
+    spark = SparkSession.getActiveSession() or get_session()
     if args.verb == "gravity":
         began = time.perf_counter()
         row = nbody.total_force(nbody.barnes_hut(readers.bodies_csv(spark, args.bodies), args.theta, args.g)).first()

@@ -2,7 +2,7 @@
 
 A geometry is anything with ``bounds()`` and ``hit(ray)``; ``hit`` gives the distance of a hit or null. Users
 add their own by giving these two methods, in Columns. ``hits_in_bounds`` may say that rays only hit it within its
-bounds, which are then tested first.
+bounds, and ``hits_at_origin`` that they only do where they begin; both let joins look for pairs by cells.
 """
 
 from __future__ import annotations
@@ -71,6 +71,7 @@ class Geometry(Protocol):
 class Sphere:
     center: Vec
     radius: Column
+    hits_in_bounds = hits_at_origin = True
 
     def with_radius(self, radius) -> Sphere:
         return replace(self, radius=(radius if isinstance(radius, Column) else F.lit(float(radius))).cast("float"))
@@ -101,6 +102,16 @@ class Sphere:
         return F.when((disc > 0) & inside(near), near).when((disc > 0) & inside(far), far)
 
 
+@dataclass(frozen=True)
+class SolidSphere(Sphere):
+    """A sphere that rays hit where they cross its surface."""
+
+    hits_at_origin = False
+
+    def hit(self, ray: Ray) -> Column:
+        return self.hit_solid(ray)
+
+
 @dataclass(frozen=True)
 class Triangle:
     a: Vec

@@ -19,6 +19,8 @@ SOFT = 1e-6
 NEAR = 1e-10
 #: Bodies whose forces are summed in one pass; they are sent to every task, 40 bytes each.
 BLOCK = 8_192
+#: Levels of a tree, of 32,768 cells at most, that are sent to every task.
+SENT_LEVELS = 5
 
 
 def _bodies(df: DataFrame) -> DataFrame:
@@ -91,7 +93,8 @@ def barnes_hut(bodies: DataFrame, theta: float = 0.5, g: float = G, leaf_size: i
     frontier, forces = every.withColumn("key", F.lit("")), None
     for level in range(tree.levels):
         nodes = tree.nodes.where(F.col("level") == level).select("key", F.col("n").alias("cell_n"), F.col("width"), F.col("mass").alias("cell_mass"), "com_x", "com_y", "com_z", "is_leaf")
-        seen = frontier.join(nodes, "key")
+        # the first levels have few cells, at most 8^level, and very many bodies in each
+        seen = frontier.join(F.broadcast(nodes) if level <= SENT_LEVELS else nodes, "key")
         d = F.sqrt(sum(((F.col("com_" + c) - F.col(c)) * (F.col("com_" + c) - F.col(c)) for c in "xyz"), F.lit(0.0)))
         far = F.col("width") <= F.greatest(F.lit(1e-6), F.lit(float(theta)) * d) + 1e-5 if theta > 0 else F.lit(False)
         seen = cuts.cut(seen.withColumn("far", far & ~F.col("is_leaf")))

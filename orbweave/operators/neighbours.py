@@ -4,7 +4,7 @@
 read the data, each task keeps its k best per query in numpy, and a window merges them; for few queries. *Grid*: rounds of
 growing radius; points and queries meet in cells as wide as the radius by an equi-join, queries with k
 points within the radius are settled and leave, the rest go on with a larger radius; after the rounds what is left is
-finished in blocks. Ties at any distance go to the smaller id. Points at one place are reduced to their k least
+finished in blocks if they are few. Ties at any distance go to the smaller id. Points at one place are reduced to their k least
 ids beforehand, as no more can be among the k nearest, so a place with very many points is no hot cell.
 """
 
@@ -21,9 +21,7 @@ from orbweave.plans.cuts import Cuts, spread
 
 #: Points nearer than this (squared) are the query itself where it is excluded.
 SELF = 1e-10
-#: Pairs up to which blocks are taken without being asked for.
-PAIRS_IN_BLOCKS = 2_000_000_000
-#: Queries of a block; they are sent to every task, 20 bytes each.
+#: Queries of a block; they are sent to every task, 20 bytes each. With more queries than one block the grid is taken without being asked for.
 BLOCK = 4_096
 #: A cell is wider than the radius by so much, for the rounding of FLOAT squares.
 MARGIN = 1e-4
@@ -129,29 +127,42 @@ def grid_pairs(points: DataFrame, asked: DataFrame, radius: float) -> DataFrame:
 
 
 def knn_grid(data: DataFrame, queries: DataFrame, k: int, schedule: Schedule | None = None, exclude_self: bool = False, radius: float | None = None) -> DataFrame:
-    """Rounds of growing radius; each is a job of its own, whose results are written before the next."""
+    """Rounds of growing radius; each is a job of its own, whose results are written before the next.
+
+    A radius as wide as all points and queries settles every query, with fewer than k points if there are no more.
+    """
     schedule = schedule or Schedule()
     cuts = Cuts(data.sparkSession)
     points = cuts.cut(_points(data) if exclude_self else thinned(_points(data), k))
     active = cuts.cut(_queries(queries))
-    r = radius if radius is not None else start_radius(points, active.select(F.col("qid").alias("id"), *(F.col("q" + c).alias(c) for c in "xyz")), k, schedule)
-    settled, left = None, active.count()
-    for _ in range(schedule.max_rounds):
-        if not left or not np.isfinite(r):
+    places = active.select(F.col("qid").alias("id"), *(F.col("q" + c).alias(c) for c in "xyz"))
+    box = points.select(*"xyz").union(places.select(*"xyz")).agg(*(f(c).cast("double").alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xyz")).first()
+    widest = 1.01 * sum((box["h" + c] - box["l" + c]) ** 2 for c in "xyz") ** 0.5 if box["lx"] is not None else 0.0
+    r = radius if radius is not None else start_radius(points, places, k, schedule)
+    settled, left, rounds = None, active.count(), 0
+    while left:
+        last = r >= widest or not np.isfinite(r)
+        if rounds >= schedule.max_rounds and left > BLOCK:
+            last, r = True, widest  # what the schedule's rounds leave, at once
+        elif rounds >= schedule.max_rounds or last and left <= BLOCK:
             break
         pairs = grid_pairs(points, active, r)
         if exclude_self:
             pairs = pairs.where(F.col("d2") > F.lit(SELF).cast("float"))
-        best = _best(pairs, k)
-        best = cuts.cut(best)
+        best = cuts.cut(_best(pairs, k))
+        if last:
+            settled = best if settled is None else settled.unionByName(best)
+            left = 0
+            break
         done = best.where(F.col("rank") == k).select("qid")
         full = best.join(done, "qid", "left_semi")
         settled = full if settled is None else settled.unionByName(full)
         rest = cuts.cut(active.join(done, "qid", "left_anti"))
         cuts.drop(active)
-        active, now = rest, rest.count()
-        if now == left and now <= BLOCK:
-            break  # nothing was near; few are left, and a scan settles them
+        active, now, rounds = rest, rest.count(), rounds + 1
+        if now <= BLOCK and (now == left or now * 50 < left):
+            left = now
+            break  # few are left, and a scan settles them
         left, r = now, r * schedule.multiplier
     if left or settled is None:
         ends = knn_blocks(points, active.select(F.col("qid").alias("id"), *(F.col("q" + c).alias(c) for c in "xyz")), k, exclude_self)
@@ -168,8 +179,7 @@ def knn(data: DataFrame, queries: DataFrame, k: int, schedule: Schedule | None =
     if k < 1:
         raise ValueError("k must be positive")
     if method == "auto":
-        n, m = data.count(), queries.count()
-        method = "blocks" if n * m <= PAIRS_IN_BLOCKS else "grid"
+        method = "blocks" if queries.limit(BLOCK + 1).count() <= BLOCK else "grid"
     return knn_blocks(data, queries, k, exclude_self) if method == "blocks" else knn_grid(data, queries, k, schedule, exclude_self)
 
 
@@ -196,34 +206,61 @@ def radius_counts(data: DataFrame, queries: DataFrame, radius: float) -> DataFra
 
 def radius_capped(data: DataFrame, queries: DataFrame, radius: float, cap: int) -> DataFrame:
     """(qid, rank, id, d2, n_hits): the ``cap`` nearest within the radius, with the number of all."""
-    pairs = radius_join(data, queries, radius)
-    return _best(pairs, cap).join(pairs.groupBy("qid").agg(F.count("*").alias("n_hits")), "qid")
+    by = Window.partitionBy("qid")
+    rank, n = F.row_number().over(by.orderBy("d2", "id")).cast("bigint"), F.count("*").over(by)
+    pairs = radius_join(data, queries, radius).select("qid", rank.alias("rank"), "id", "d2", n.alias("n_hits"))
+    return pairs.where(F.col("rank") <= cap)
+
+
+def adaptive_cap(round_number: int, active: int, most: int = 10_000) -> int:
+    """Hits of a query that a round (from 1) keeps: from 128 on twice as many each round, fewer if many queries are active, never more than ``most``."""
+    return min(most, 128 << min(round_number - 1, 10), max(128, 50_000_000 // max(1, active)))
+
 
+def saturation(counts: DataFrame, cap: int) -> DataFrame:
+    """One row: how many of (qid, n_hits) reach the cap, and their share."""
+    full = (F.col("n_hits") >= cap).cast("bigint")
+    return counts.agg(F.coalesce(F.sum(full), F.lit(0)).cast("bigint").alias("saturated"), F.coalesce(F.avg(full), F.lit(0.0)).alias("ratio"))
 
-def start_radius(points: DataFrame, queries: DataFrame, k: int, schedule: Schedule, most_queries: int = 100, most_points: int = 1_000) -> float:
-    """The schedule's first radius: fixed, or from the k-th distances of sampled queries to sampled points."""
+
+def start_radius(points: DataFrame, queries: DataFrame, k: int, schedule: Schedule, most_queries: int = 100) -> float:
+    """The schedule's first radius: fixed, or from the k-th distances of sampled queries to all points, one scan of these.
+
+    All points, as the k-th distance among a sample of fixed size doesn't shrink as the points grow dense, and the pairs of a
+    round would grow as their square.
+    """
     if schedule.heuristic == "fixed":
         return float(schedule.fixed_radius)
     from orbweave.operators.sampling import hashed_sample
 
-    kth = sampled_kth_distances(hashed_sample(points, most_points), hashed_sample(queries, most_queries), k)
+    kth = sampled_kth_distances(points, hashed_sample(queries, most_queries), k)
     found = radius_percentile(kth, schedule.percentile) if schedule.heuristic == "percentile" else radius_max(kth)
     value = found.first()["radius"]
     return float(value) if value and value > 0 else 1.0
 
 
 def sampled_kth_distances(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, dist): distance to the k-th nearest sampled point (the last if fewer), the query's own place left out."""
+    """(qid, dist): distance to the k-th nearest point (the last if fewer), the query's own place left out."""
     near = knn_blocks(points, queries, k, exclude_self=True)
     return near.groupBy("qid").agg(F.sqrt(F.max("d2")).cast("float").alias("dist"))
 
 
 def radius_percentile(kth: DataFrame, share: float) -> DataFrame:
-    """One row, ``radius``: 1.1 times the distance at place floor(n * share) in order, no interpolation."""
-    every = F.sort_array(F.collect_list("dist"))
-    n = F.size("every")
-    at = F.least(F.floor(n * F.lit(float(share))), n - 1).cast("int") + 1
-    return kth.agg(every.alias("every")).select(F.when(n > 0, F.element_at("every", F.greatest(at, F.lit(1))).cast("double") * 1.1).alias("radius"))
+    """One row, ``radius``: 1.1 times the distance at place floor(n * share) in order, no interpolation; null for no rows.
+
+    Distances are dealt by ranges; the ranges' counts say which has the place, and only that is sorted.
+    """
+    cuts = Cuts(kth.sparkSession)
+    placed = cuts.cut(kth.select("dist").repartitionByRange("dist").withColumn("part", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in placed.groupBy("part").count().collect())  # a row per partition
+    n, before, part = sum(c for _, c in sizes), 0, 0
+    at = min(int(np.floor(n * float(share))), n - 1)
+    for part, count in sizes:
+        if at < before + count:
+            break
+        before += count
+    value = placed.where(F.col("part") == part).orderBy("dist").offset(max(0, at - before)).limit(1)
+    return value.agg((F.max("dist").cast("double") * 1.1).alias("radius"))
 
 
 def radius_max(kth: DataFrame) -> DataFrame:

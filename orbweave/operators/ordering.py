@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions import morton
+from orbweave.plans.cuts import Cuts, fresh
 
 
 def bounding_box(points: DataFrame) -> DataFrame:
@@ -29,13 +30,20 @@ def morton_sorted(points: DataFrame, isotropic: bool = False) -> DataFrame:
 
 
 def morton_ranked(points: DataFrame, isotropic: bool = False) -> DataFrame:
-    """``morton_codes`` with ``position``, from 0 in order of (code, id): counts of each code are summed up, places are taken within a code."""
+    """``morton_codes`` with ``position``, from 0 in order of (code, id).
+
+    Points are dealt by ranges of (code, id), so many of one code are no hot task, and sorted within them; a point's
+    position is its place in its range and the sizes of the ranges before.
+    """
+    cuts = Cuts(points.sparkSession)
     coded = morton_codes(points, isotropic)
-    # at most 2^30 codes; ranges of 2^14 are summed first, so that no task sees more than their number
-    counts = coded.groupBy("code").count().withColumn("high", F.shiftright("code", 14))
-    ranges = counts.groupBy("high").agg(F.sum("count").alias("in_range"))
-    before_range = ranges.select("high", (F.sum("in_range").over(Window.orderBy("high")) - F.col("in_range")).alias("before_range"))
-    before = F.sum("count").over(Window.partitionBy("high").orderBy("code")) - F.col("count")
-    starts = counts.withColumn("before", before).join(before_range, "high").select("code", (F.col("before") + F.col("before_range")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("code").orderBy("id")) - 1
-    return coded.withColumn("place", place).join(starts, "code").select(*coded.columns, (F.col("before") + F.col("place")).cast("bigint").alias("position"))
+    at, part, start = (fresh(n, coded) for n in ("at", "part", "start"))
+    dealt = coded.repartitionByRange("code", "id").sortWithinPartitions("code", "id").withColumn(at, F.monotonically_increasing_id())
+    dealt = cuts.cut(dealt.withColumn(part, F.shiftright(at, 33)))
+    total, starts = 0, []
+    for p, n in sorted(tuple(r) for r in dealt.groupBy(part).count().collect()):  # a row per partition
+        starts.append((p, total))
+        total += n
+    offsets = points.sparkSession.createDataFrame(starts, f"{part} long, {start} long")
+    place = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(offsets), part).select(*coded.columns, (F.col(start) + place).alias("position"))

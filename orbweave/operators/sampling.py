@@ -41,8 +41,13 @@ def lcg_sample(points: DataFrame, count: int, n: int, ordinal: str = "id", seed:
 
 
 def random_sample(points: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """min(most, n) rows without replacement."""
-    return points.orderBy(F.xxhash64(F.lit(seed), *points.columns)).limit(most)
+    """min(most, n) rows without replacement: those with the least hashes; a threshold leaves about twice as many to sort."""
+    n, level = points.count(), 1 << 30
+    h = F.xxhash64(F.lit(seed), *points.columns)
+    some = points.where(F.pmod(h, F.lit(level)) < 2 * most * level // max(1, n)) if n > 2 * most else points
+    if n > 2 * most and some.limit(most).count() < most:
+        some = points
+    return points if n <= most else some.orderBy(F.pmod(h, F.lit(level)), h).limit(most)
 
 
 def hashed_sample(points: DataFrame, most: int, key: str = "id") -> DataFrame:

@@ -6,12 +6,12 @@ import itertools
 import json
 import time
 from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
 class Schedule:
-    """``heuristic``: percentile, max or fixed. ``cap``, ``morton``, ``memory``, ``build`` and ``geometry`` are kept for files; Spark needs none of them."""
+    """``heuristic``: percentile, max or fixed. ``cap`` is what ``neighbours.saturation`` counts up to; ``morton``, ``memory``, ``build`` and ``geometry`` are kept for files."""
 
     heuristic: str = "percentile"
     percentile: float = 0.10
@@ -62,8 +62,10 @@ class Schedule:
             return cls()
 
 
-#: Runs a schedule over a number of rows and says whether the result is good.
-Trial = Callable[[Schedule, int], bool]
+#: Runs a schedule over a number of rows; says whether the result is good, or for what share of the queries it is right.
+Trial = Callable[[Schedule, int], bool | float]
+#: Share of right queries from which a result is good.
+ACCURACY = 0.999
 
 
 @dataclass(frozen=True)
@@ -75,34 +77,38 @@ class Timed:
 
 def timed(trial: Trial, schedule: Schedule, rows: int) -> Timed:
     began = time.perf_counter()
-    good = bool(trial(schedule, rows))
+    good = float(trial(schedule, rows)) >= ACCURACY
     return Timed(schedule, time.perf_counter() - began, good)
 
 
-def hill_climb(trial: Trial, rows: int, iterations: int = 5) -> Schedule:
-    """From percentile 0.01 and multiplier 3, takes the fastest good neighbour until none is faster."""
-    best = timed(trial, Schedule(percentile=0.01, multiplier=3.0), rows)
-    for _ in range(iterations):
-        p, m = best.schedule.percentile, best.schedule.multiplier
-        steps = [replace(best.schedule, percentile=min(0.2, max(0.001, p + d))) for d in (0.005, -0.005, -0.01, 0.05)]
-        steps += [replace(best.schedule, multiplier=min(5.0, max(1.5, m + d))) for d in (0.5, -0.5, 1.0, -1.0)]
-        tried = [timed(trial, s, rows) for s in dict.fromkeys(steps) if s != best.schedule]
+def hill_climb(trial: Trial, rows: int, rounds: int = 8) -> Schedule:
+    """From the defaults, tries both settings half as large and half as large again, takes the fastest good one, and halves the step where none is faster."""
+    best, step = timed(trial, Schedule(), rows), 0.5
+    for _ in range(rounds):
+        now = best.schedule
+        near = [replace(now, percentile=min(0.99, now.percentile * f)) for f in (1 - step, 1 + step)]
+        near += [replace(now, multiplier=1 + (now.multiplier - 1) * f) for f in (1 - step, 1 + step)]
+        tried = [timed(trial, s, rows) for s in near]
         found = [t for t in tried if t.good and (t.seconds < best.seconds or not best.good)]
-        if not found:
-            break
-        best = min(found, key=lambda t: t.seconds)
+        if found:
+            best = min(found, key=lambda t: t.seconds)
+        else:
+            step /= 2
     return best.schedule
 
 
-#: The candidates' percentiles, multipliers and caps.
+#: The candidates' percentiles, multipliers and caps; the stages' rows and survivors.
 FUNNEL = ((0.001, 0.005, 0.01, 0.02, 0.05, 0.10, 0.20, 0.50, 0.99), (2.0, 3.0, 4.0), (500, 2_000, 5_000, 10_000))
+STAGES = ((5_000, 20), (25_000, 5), (100_000, 1))
+#: Percentiles and multipliers of the grid.
+GRID = ((0.02, 0.05, 0.10, 0.15, 0.20, 0.50, 0.99), (1.5, 2.0, 2.5, 3.0, 3.5))
 
 
 def candidates() -> list[Schedule]:
     return [Schedule(percentile=p, multiplier=m, cap=c) for p, m, c in itertools.product(*FUNNEL)]
 
 
-def funnel(trial: Trial, pool: Iterable[Schedule] | None = None, stages: tuple[tuple[int, int], ...] = ((5_000, 20), (25_000, 5), (100_000, 1))) -> Schedule:
+def funnel(trial: Trial, pool: Iterable[Schedule] | None = None, stages: tuple[tuple[int, int], ...] = STAGES) -> Schedule:
     """Each stage runs what is left on more rows and keeps the fastest good ones; the defaults if none is good."""
     left = list(pool) if pool is not None else candidates()
     for rows, keep in stages:
@@ -116,11 +122,8 @@ def sweep(trial: Trial, percentiles: Iterable[float], multipliers: Iterable[floa
     return [timed(trial, Schedule(percentile=p, multiplier=m), rows) for p, m in itertools.product(percentiles, multipliers)]
 
 
-def grid_search(trial: Trial, rows: int, percentiles: Iterable[float] = (0.02, 0.05, 0.10, 0.15, 0.20, 0.50, 0.99), multipliers: Iterable[float] = (1.5, 2.0, 2.5, 3.0, 3.5)) -> Schedule:
+def grid_search(trial: Trial, rows: int, percentiles: Iterable[float] = GRID[0], multipliers: Iterable[float] = GRID[1]) -> Schedule:
     """The fastest good combination; the defaults if none is good."""
     good = [t for t in sweep(trial, percentiles, multipliers, rows) if t.good]
     return min(good, key=lambda t: t.seconds).schedule if good else Schedule()
 
-
-def as_dict(schedule: Schedule) -> dict:
-    return asdict(schedule)

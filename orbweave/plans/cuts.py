@@ -47,7 +47,7 @@ class Cuts:
 
 def plan_bytes(df: DataFrame) -> int:
     """What the optimizer takes for the size of a table; nothing is run for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:

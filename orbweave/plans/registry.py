@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions import vectors as V
-from orbweave.functions.geometry import Box, Ray, ray_hits_box
+from orbweave.functions.geometry import Box, Ray
 from orbweave.operators import bvh, nbody, neighbours, octree, ordering, rays, sampling, validation
 from orbweave.operators.schedule import Schedule
 from orbweave.plans import programs
@@ -112,19 +112,25 @@ def bbox_agg(spark, sf_dir):
 # rays
 
 
-def _ray_join(cond: str, cols: str) -> str:
-    return f"WITH {duck('rays', 'triangles')}, pairs AS (SELECT * FROM rays CROSS JOIN triangles), tested AS (SELECT ray_id, tri_id, {cols} FROM pairs) SELECT * FROM tested WHERE {cond}"
+def _slab_sql() -> str:
+    """Rays and boxes, each axis divided in DOUBLE; an axis that a ray runs along bounds nothing, but the ray has to be in its slab."""
+    part = lambda c, side: f"(CAST({side}{c} AS DOUBLE)-o{c})/CAST(d{c} AS DOUBLE)"
+    near = lambda c: f"CASE WHEN d{c} = 0 THEN NULL ELSE least({part(c, 'l')}, {part(c, 'h')}) END"
+    far = lambda c: f"CASE WHEN d{c} = 0 THEN NULL ELSE greatest({part(c, 'l')}, {part(c, 'h')}) END"
+    low, high = (", ".join(f(c) for c in "xyz") for f in (near, far))
+    inside = " AND ".join(f"(d{c} != 0 OR o{c} BETWEEN l{c} AND h{c})" for c in "xyz")
+    boxes = ", ".join(f"least(a{c}, b{c if c != 'y' else 'y_'}, c{c}) AS l{c}, greatest(a{c}, b{c if c != 'y' else 'y_'}, c{c}) AS h{c}" for c in "xyz")
+    return f"""WITH {duck('rays', 'triangles')}, boxes AS (SELECT tri_id, {boxes} FROM triangles),
+  ends AS (SELECT ray_id, tri_id, greatest(CAST(tmin AS DOUBLE), {low}) AS low, least(CAST(tmax AS DOUBLE), {high}) AS high, {inside} AS inside FROM rays CROSS JOIN boxes)
+SELECT ray_id, tri_id FROM ends WHERE inside AND high >= low AND high > 0"""
 
 
-_SLAB = "ox >= least(ax,bx,cx) AND ox <= greatest(ax,bx,cx) AND oy >= least(ay,by_,cy) AND oy <= greatest(ay,by_,cy) AND least(CAST(50 AS FLOAT), greatest(az,bz,cz)-oz) >= greatest(CAST(0 AS FLOAT), least(az,bz,cz)-oz) AND greatest(az,bz,cz)-oz > 0"
-
-
-@query("ray_aabb", f"WITH {duck('rays', 'triangles')} SELECT ray_id, tri_id FROM rays CROSS JOIN triangles WHERE {_SLAB}")
+@query("ray_aabb", _slab_sql())
 def ray_aabb(spark, sf_dir):
     r, t = view(spark, sf_dir, "rays"), view(spark, sf_dir, "triangles")
     box = rays.triangles().bounds()
     boxes = t.select("tri_id", *(c.alias(n) for c, n in zip((*box.low, *box.high), ("lx", "ly", "lz", "hx", "hy", "hz"))))
-    return rays.joined(r, boxes, ray_hits_box(Ray.columns(), Box(V.vec("lx", "ly", "lz"), V.vec("hx", "hy", "hz")))).select("ray_id", "tri_id")
+    return rays.box_hits(r, boxes, Box(V.vec("lx", "ly", "lz"), V.vec("hx", "hy", "hz")), "tri_id")
 
 
 def _parts(spark, sf_dir):
@@ -132,23 +138,24 @@ def _parts(spark, sf_dir):
 
 
 _BALLS = f"{duck('rays', 'points_tie')}, balls AS (SELECT id AS prim_id, CAST(x*10 AS FLOAT) AS x, CAST(y*100 AS FLOAT) AS y, CAST(5 AS FLOAT) AS z, CAST(8 AS FLOAT) AS radius FROM points_tie)"
-_SOLID = f"""{_BALLS}, eq AS (SELECT ray_id, prim_id,
-  (CAST(oz AS DOUBLE)-z) AS b, (CAST(ox AS DOUBLE)-x)*(CAST(ox AS DOUBLE)-x)+(CAST(oy AS DOUBLE)-y)*(CAST(oy AS DOUBLE)-y)+(CAST(oz AS DOUBLE)-z)*(CAST(oz AS DOUBLE)-z)-64 AS c FROM rays CROSS JOIN balls),
-  roots AS (SELECT ray_id, prim_id, -b-sqrt(b*b-c) AS near, -b+sqrt(b*b-c) AS far FROM eq WHERE b*b-c > 0),
+_OFF, _DIR = [f"(CAST(o{c} AS DOUBLE)-{c})" for c in "xyz"], [f"CAST(d{c} AS DOUBLE)" for c in "xyz"]
+_SUM = lambda u, w: f"({u[0]}*{w[0]}+{u[1]}*{w[1]}+{u[2]}*{w[2]})"
+_SOLID = f"""{_BALLS}, eq AS (SELECT ray_id, prim_id, {_SUM(_DIR, _DIR)} AS a, {_SUM(_OFF, _DIR)} AS b, {_SUM(_OFF, _OFF)}-64 AS c FROM rays CROSS JOIN balls),
+  roots AS (SELECT ray_id, prim_id, (-b-sqrt(b*b-a*c))/a AS near, (-b+sqrt(b*b-a*c))/a AS far FROM eq WHERE b*b-a*c > 0),
   hits AS (SELECT ray_id, prim_id, CASE WHEN near > 0 AND near < 50 THEN near WHEN far > 0 AND far < 50 THEN far END AS t FROM roots)"""
 
 
 @query("ray_sphere_solid", f"WITH {_SOLID} SELECT ray_id, prim_id, round(t, 4) AS t FROM hits WHERE t IS NOT NULL")
 def ray_sphere_solid(spark, sf_dir):
-    hits = rays.trace(view(spark, sf_dir, "rays"), _parts(spark, sf_dir), rays.spheres().hit_solid)
+    hits = rays.trace(view(spark, sf_dir, "rays"), _parts(spark, sf_dir), rays.solid_spheres())
     return hits.select("ray_id", "prim_id", F.round("t", 4).alias("t"))
 
 
-# rays go straight up from z = -1, so the cross products of the test are plain
-_TRI = f"""WITH {duck('rays', 'triangles')}, e AS (SELECT ray_id, tri_id, bx-ax AS e1x, by_-ay AS e1y, bz-az AS e1z, cx-ax AS e2x, cy-ay AS e2y, cz-az AS e2z, ox-ax AS sx, oy-ay AS sy, oz-az AS sz FROM rays CROSS JOIN triangles),
- h AS (SELECT *, CAST(0 AS FLOAT)-e2y AS hx, e2x AS hy, CAST(e1x*(CAST(0 AS FLOAT)-e2y)+e1y*e2x AS FLOAT) AS det FROM e),
- u AS (SELECT *, 1e0/CAST(det AS DOUBLE) AS f, sy*e1z-sz*e1y AS qx, sz*e1x-sx*e1z AS qy, sx*e1y-sy*e1x AS qz FROM h WHERE det <= -1e-7 OR det >= 1e-7),
- t AS (SELECT ray_id, tri_id, f*CAST(CAST(sx*hx+sy*hy AS FLOAT) AS DOUBLE) AS u, f*CAST(qz AS DOUBLE) AS v, f*CAST(CAST(e2x*qx+e2y*qy+e2z*qz AS FLOAT) AS DOUBLE) AS t FROM u),
+_TRI = f"""WITH {duck('rays', 'triangles')}, e AS (SELECT ray_id, tri_id, dx, dy, dz, bx-ax AS e1x, by_-ay AS e1y, bz-az AS e1z, cx-ax AS e2x, cy-ay AS e2y, cz-az AS e2z, ox-ax AS sx, oy-ay AS sy, oz-az AS sz FROM rays CROSS JOIN triangles),
+ p AS (SELECT *, dy*e2z-dz*e2y AS hx, dz*e2x-dx*e2z AS hy, dx*e2y-dy*e2x AS hz, sy*e1z-sz*e1y AS qx, sz*e1x-sx*e1z AS qy, sx*e1y-sy*e1x AS qz FROM e),
+ h AS (SELECT *, CAST((e1x*hx+e1y*hy)+e1z*hz AS FLOAT) AS det FROM p),
+ u AS (SELECT *, 1e0/CAST(det AS DOUBLE) AS f FROM h WHERE det <= -1e-7 OR det >= 1e-7),
+ t AS (SELECT ray_id, tri_id, f*CAST(CAST((sx*hx+sy*hy)+sz*hz AS FLOAT) AS DOUBLE) AS u, f*CAST(CAST((dx*qx+dy*qy)+dz*qz AS FLOAT) AS DOUBLE) AS v, f*CAST(CAST((e2x*qx+e2y*qy)+e2z*qz AS FLOAT) AS DOUBLE) AS t FROM u),
  hits AS (SELECT ray_id, tri_id AS prim_id, t FROM t WHERE u >= 0 AND u <= 1 AND v >= 0 AND u+v <= 1 AND t > 0 AND t < 50)"""
 
 

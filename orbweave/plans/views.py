@@ -13,7 +13,7 @@ _SQL = {
     "points_tie": "SELECT p_partkey AS id, CAST(p_size AS FLOAT) AS x, CAST(p_partkey % 5 AS FLOAT) AS y, CAST(0 AS FLOAT) AS z FROM part",
     "points_planar": "SELECT event_id AS id, CAST(value AS FLOAT) AS x, CAST(user_id AS FLOAT) AS y, CAST(0 AS FLOAT) AS z FROM events",
     "bodies_cust": "SELECT c_custkey AS id, CAST(c_acctbal/100e0 AS DOUBLE) AS x, CAST(c_nationkey*4 AS DOUBLE) AS y, CAST(c_custkey % 97 AS DOUBLE) AS z, CAST(1 + c_custkey % 7 AS DOUBLE) AS mass FROM customer",
-    "rays": "SELECT o_orderkey AS ray_id, CAST(o_totalprice/1000e0 AS FLOAT) AS ox, CAST(o_custkey/10e0 AS FLOAT) AS oy, CAST(-1 AS FLOAT) AS oz, CAST(0 AS FLOAT) AS dx, CAST(0 AS FLOAT) AS dy, CAST(1 AS FLOAT) AS dz, CAST(0 AS FLOAT) AS tmin, CAST(50 AS FLOAT) AS tmax FROM orders WHERE o_orderkey % 50 = 0",
+    "rays": "SELECT o_orderkey AS ray_id, CAST(o_totalprice/1000e0 AS FLOAT) AS ox, CAST(o_custkey/10e0 AS FLOAT) AS oy, CAST(-1 AS FLOAT) AS oz, CAST(((o_orderkey/50e0) % 7 - 3)/2e0 AS FLOAT) AS dx, CAST(((o_orderkey/50e0) % 5 - 2)/2e0 AS FLOAT) AS dy, CAST(1 AS FLOAT) AS dz, CAST(0 AS FLOAT) AS tmin, CAST(50 AS FLOAT) AS tmax FROM orders WHERE o_orderkey % 50 = 0",
     "triangles": "SELECT s_suppkey AS tri_id, CAST(s_nationkey*10 AS FLOAT) AS ax, CAST(s_suppkey % 50 AS FLOAT) AS ay, CAST(s_suppkey % 7 AS FLOAT) AS az, CAST(s_nationkey*10+60 AS FLOAT) AS bx, CAST(s_suppkey % 50 AS FLOAT) AS by_, CAST(s_suppkey % 7 AS FLOAT) AS bz, CAST(s_nationkey*10 AS FLOAT) AS cx, CAST(s_suppkey % 50 + 60 AS FLOAT) AS cy, CAST(s_suppkey % 7 + 1 AS FLOAT) AS cz FROM supplier",
 }
 SPARK = _SQL | {"points_emb": _EMB.format(**{f"e{i}": f"element_at(embedding, {i})" for i in (1, 2, 3)})}

@@ -90,7 +90,10 @@ def test_searches(monkeypatch):
     assert len(schedule.candidates()) == 108
     best = schedule.funnel(trial)
     assert (best.percentile, best.multiplier) == (0.05, 2.0)
-    assert schedule.hill_climb(trial, 100).multiplier == 2.0
+    best = schedule.hill_climb(trial, 100)
+    assert best.multiplier == 2.0 and abs(best.percentile - 0.05) < 0.01
+    # a share of right queries is good from the accuracy on
+    assert schedule.grid_search(lambda s, n: 0.9991 if s.percentile == 0.15 else 0.998, 1).percentile == 0.15
     assert schedule.funnel(lambda s, n: False) == schedule.grid_search(lambda s, n: False, 1) == Schedule()
     assert len(schedule.sweep(trial, (0.1, 0.2), (2.0, 3.0), 10)) == 4
 

@@ -48,7 +48,8 @@ def test_rays_and_triangles(spark):
     shots = spark.createDataFrame([(i, x, y, -1.0, 0.0, 0.0, 1.0, 0.0, t) for i, (x, y, t) in enumerate([(1.0, 1.0, 9.0), (5.0, 5.0, 9.0), (1.0, 1.0, 2.0), (1.0, 1.0, 3.0), (0.0, 0.0, 9.0)])], "ray_id long, ox float, oy float, oz float, dx float, dy float, dz float, tmin float, tmax float")
     hits = rays.trace(shots, prims, rays.triangles(), "tri_id")
     assert sorted(map(tuple, hits.collect())) == [(0, 1, 1), (0, 2, 3), (2, 1, 1), (3, 1, 1), (4, 1, 1), (4, 2, 3)]
-    assert sorted(map(tuple, rays.trace(shots, prims, rays.triangles(), "tri_id", block=1).collect())) == sorted(map(tuple, hits.collect()))
+    anywhere = rays.trace(shots, prims, rays.triangles().hit, "tri_id", block=1)
+    assert sorted(map(tuple, anywhere.collect())) == sorted(map(tuple, hits.collect()))
     assert sorted(map(tuple, rays.closest_hit(hits).collect())) == [(0, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1)]
     ended = rays.any_hit(hits, terminate=F.col("prim_id") == 2)
     assert ended.count() == 6 and {r["ray_id"] for r in rays.closest_hit(ended).collect()} == {2, 3}
@@ -76,3 +77,22 @@ def test_morton_order(spark):
     assert [r["id"] for r in ordering.morton_ranked(df).orderBy("position").collect()] == ordered
     assert ordering.morton_codes(df.limit(0)).count() == 0 and ordering.morton_codes(df.limit(1)).first()["code"] == 0
     assert tuple(ordering.bounding_box(df.limit(0)).first()) == (None,) * 6
+
+
+@pytest.mark.parametrize("finest", [1, 7, 1_024])
+def test_rays_of_any_direction_meet_what_they_hit(spark, monkeypatch, finest):
+    """Geometries of very different sizes, rays along axes, of no direction, from within and without end; all pairs tested is the truth."""
+    monkeypatch.setattr(rays, "FINEST", finest)
+    rng = random.Random(4)
+    at = lambda r: tuple(rng.uniform(-r, r) for _ in range(3))
+    shots = [(i, *at(15), *rng.choice([at(1), (0.0, 0.0, 1.0), (0.0, -2.0, 0.0), (0.0, 0.0, 0.0), (1.0, 1.0, 0.0)]), rng.choice([0.0, 2.0]), rng.choice([1.0, 9.0, 1e30, float("inf")])) for i in range(60)]
+    shots = spark.createDataFrame(shots, "ray_id long, " + ", ".join(f"{c} float" for c in ("ox", "oy", "oz", "dx", "dy", "dz", "tmin", "tmax")))
+    corners = lambda c, r: [x for _ in range(3) for x in (p + rng.uniform(-r, r) for p in c)]
+    tris = spark.createDataFrame([(i, *corners(at(12), rng.choice([0.01, 1.0, 12.0]))) for i in range(80)], "tri_id long, " + ", ".join(f"{c} float" for c in ("ax", "ay", "az", "bx", "by_", "bz", "cx", "cy", "cz")))
+    balls = spark.createDataFrame([(i, *at(12), rng.choice([0.05, 1.0, 6.0])) for i in range(80)], "prim_id long, x float, y float, z float, radius float")
+    for prims, shape, hit, name in ((tris, rays.triangles(), rays.triangles().hit, "tri_id"), (balls, rays.solid_spheres(), rays.spheres().hit_solid, "prim_id"), (balls, rays.spheres(), rays.spheres().hit, "prim_id")):
+        want = sorted(map(tuple, rays.trace(shots, prims, hit, name).collect()))
+        assert sorted(map(tuple, rays.trace(shots, prims, shape, name).collect())) == want and len(want) > 5
+        assert rays.trace(shots, prims.limit(0), shape, name).count() == rays.trace(shots.limit(0), prims, shape, name).count() == 0
+    plan = rays.trace(shots, tris, rays.triangles(), "tri_id")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
