@@ -212,9 +212,15 @@ def radius_capped(data: DataFrame, queries: DataFrame, radius: float, cap: int)
     return pairs.where(F.col("rank") <= cap)
 
 
-def adaptive_cap(round_number: int, active: int, most: int = 10_000) -> int:
-    """Hits of a query that a round (from 1) keeps: from 128 on twice as many each round, fewer if many queries are active, never more than ``most``."""
-    return min(most, 128 << min(round_number - 1, 10), max(128, 50_000_000 // max(1, active)))
+#: Hits of a query that are kept, by round, the last one for all that follow.
+CAPS = (128, 256, 512, 1_024, 2_048, 4_096, 10_000)
+#: Hits that all active queries may keep together.
+ALL_HITS = 50_000_000
+
+
+def adaptive_cap(round_number: int, active: int) -> int:
+    """Hits of a query that a round (from 1) keeps: fewer if many queries are active, but CAPS[0] at least."""
+    return min(CAPS[min(round_number, len(CAPS)) - 1], max(CAPS[0], ALL_HITS // max(1, active)))
 
 
 def saturation(counts: DataFrame, cap: int) -> DataFrame:

@@ -8,6 +8,9 @@ import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Schedule:
@@ -61,7 +64,21 @@ class Schedule:
         except OSError:
             return cls()
 
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Like ``save``, to a path that Spark can write."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Schedule:
+        """Like ``load``, from a path that Spark can read; the defaults if there is nothing."""
+        try:
+            return cls.from_json("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+        except AnalysisException:
+            return cls()
+
 
+#: What a run costs; without one it is the time that it takes.
+Cost = Callable[[Schedule], float]
 #: Runs a schedule over a number of rows; says whether the result is good, or for what share of the queries it is right.
 Trial = Callable[[Schedule, int], bool | float]
 #: Share of right queries from which a result is good.
@@ -75,20 +92,20 @@ class Timed:
     good: bool
 
 
-def timed(trial: Trial, schedule: Schedule, rows: int) -> Timed:
+def timed(trial: Trial, schedule: Schedule, rows: int, cost: Cost | None = None) -> Timed:
     began = time.perf_counter()
     good = float(trial(schedule, rows)) >= ACCURACY
-    return Timed(schedule, time.perf_counter() - began, good)
+    return Timed(schedule, time.perf_counter() - began if cost is None else cost(schedule), good)
 
 
-def hill_climb(trial: Trial, rows: int, rounds: int = 8) -> Schedule:
+def hill_climb(trial: Trial, rows: int, rounds: int = 8, cost: Cost | None = None) -> Schedule:
     """From the defaults, tries both settings half as large and half as large again, takes the fastest good one, and halves the step where none is faster."""
-    best, step = timed(trial, Schedule(), rows), 0.5
+    best, step = timed(trial, Schedule(), rows, cost), 0.5
     for _ in range(rounds):
         now = best.schedule
         near = [replace(now, percentile=min(0.99, now.percentile * f)) for f in (1 - step, 1 + step)]
         near += [replace(now, multiplier=1 + (now.multiplier - 1) * f) for f in (1 - step, 1 + step)]
-        tried = [timed(trial, s, rows) for s in near]
+        tried = [timed(trial, s, rows, cost) for s in near]
         found = [t for t in tried if t.good and (t.seconds < best.seconds or not best.good)]
         if found:
             best = min(found, key=lambda t: t.seconds)
@@ -108,22 +125,22 @@ def candidates() -> list[Schedule]:
     return [Schedule(percentile=p, multiplier=m, cap=c) for p, m, c in itertools.product(*FUNNEL)]
 
 
-def funnel(trial: Trial, pool: Iterable[Schedule] | None = None, stages: tuple[tuple[int, int], ...] = STAGES) -> Schedule:
+def funnel(trial: Trial, pool: Iterable[Schedule] | None = None, stages: tuple[tuple[int, int], ...] = STAGES, cost: Cost | None = None) -> Schedule:
     """Each stage runs what is left on more rows and keeps the fastest good ones; the defaults if none is good."""
     left = list(pool) if pool is not None else candidates()
     for rows, keep in stages:
-        good = [t for t in (timed(trial, s, rows) for s in left) if t.good]
+        good = [t for t in (timed(trial, s, rows, cost) for s in left) if t.good]
         left = [t.schedule for t in sorted(good, key=lambda t: t.seconds)[:keep]]
     return left[0] if left else Schedule()
 
 
-def sweep(trial: Trial, percentiles: Iterable[float], multipliers: Iterable[float], rows: int) -> list[Timed]:
+def sweep(trial: Trial, percentiles: Iterable[float], multipliers: Iterable[float], rows: int, cost: Cost | None = None) -> list[Timed]:
     """All combinations, timed."""
-    return [timed(trial, Schedule(percentile=p, multiplier=m), rows) for p, m in itertools.product(percentiles, multipliers)]
+    return [timed(trial, Schedule(percentile=p, multiplier=m), rows, cost) for p, m in itertools.product(percentiles, multipliers)]
 
 
-def grid_search(trial: Trial, rows: int, percentiles: Iterable[float] = GRID[0], multipliers: Iterable[float] = GRID[1]) -> Schedule:
+def grid_search(trial: Trial, rows: int, percentiles: Iterable[float] = GRID[0], multipliers: Iterable[float] = GRID[1], cost: Cost | None = None) -> Schedule:
     """The fastest good combination; the defaults if none is good."""
-    good = [t for t in sweep(trial, percentiles, multipliers, rows) if t.good]
+    good = [t for t in sweep(trial, percentiles, multipliers, rows, cost) if t.good]
     return min(good, key=lambda t: t.seconds).schedule if good else Schedule()
 
