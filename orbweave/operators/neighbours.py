@@ -23,6 +23,9 @@ from orbweave.plans.cuts import Cuts, spread
 SELF = 1e-10
 #: Queries of a block; they are sent to every task, 20 bytes each. With more queries than one block the grid is taken without being asked for.
 BLOCK = 4_096
+#: What a search without a schedule of its own goes by: a schedule's defaults begin with fewer queries settled and grow faster,
+#: which makes more pairs here.
+USUAL = Schedule(percentile=0.5, multiplier=2.0)
 #: A cell is wider than the radius by so much, for the rounding of FLOAT squares.
 MARGIN = 1e-4
 
@@ -131,7 +134,7 @@ def knn_grid(data: DataFrame, queries: DataFrame, k: int, schedule: Schedule | N
 
     A radius as wide as all points and queries settles every query, with fewer than k points if there are no more.
     """
-    schedule = schedule or Schedule()
+    schedule = schedule or USUAL
     cuts = Cuts(data.sparkSession)
     points = cuts.cut(_points(data) if exclude_self else thinned(_points(data), k))
     active = cuts.cut(_queries(queries))
