@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = Cuts(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cuts.cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cuts.cut(stage(spark, docs, sf_dir))
+        cuts.drop(before)
     return docs

@@ -41,8 +41,15 @@ class Cuts:
         """Deletes the files behind a table that nothing reads any more."""
         path = getattr(df, "_cut_path", None)
         if path:
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
+
+    def close(self) -> None:
+        """Deletes all tables that were cut here; what is still to be read has to be cut elsewhere before."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def plan_bytes(df: DataFrame) -> int:
