@@ -37,6 +37,8 @@ MEMO_ENTRIES = 150_000
 SMALL_ENTRIES = 100_000
 #: Halving ends at so many bytes.
 LEAF = 2
+#: Tokens of a leaf when ids are decoded.
+DECODE_LEAF = 256
 #: Subtrees over at most so many bytes are encoded once per worker.
 SUBTREE = 8
 
@@ -138,8 +140,12 @@ class TreeBpe:
         return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        """Concatenation up the tree, whose leaves are the tokens' bytes."""
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """Concatenation up the tree: runs of tokens are its leaves, and neighbours are joined level by level."""
+        tokens = [self.token[t] for t in np.frombuffer(ids, "<u4").tolist()]
+        level = [b"".join(tokens[i : i + DECODE_LEAF]) for i in range(0, len(tokens), DECODE_LEAF)]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 class _Memo(dict):

@@ -147,9 +147,9 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int, one_in: int) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int, one_in: int, cuts: Cuts) -> DataFrame:
     """id, h and what ``match`` returns of every row."""
-    cuts, kind = Cuts(docs.sparkSession), docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("h"), F.col(text_col).alias("text"))
     found = windows(benchmark, cuts, item_col, item_text_col, width)
     sizes = tuple(sorted({min(SHINGLE, r["n"]) for r in found.select(F.size("words").alias("n")).distinct().collect()}))  # at most SHINGLE numbers
@@ -186,12 +186,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
 
 def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, one_in: int = ONE_IN) -> DataFrame:
     """id, ``n_words``, ``n_hit``, ``n_items``, ``items`` (ids as sorted strings), ``items_sha256``, ``spans`` (flat) and ``contaminated`` of every document."""
-    return _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width, one_in).drop("h").withColumnRenamed("id", id_col)
+    return _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width, one_in, Cuts(docs.sparkSession)).drop("h").withColumnRenamed("id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, one_in: int = ONE_IN) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    cuts, names = Cuts(docs.sparkSession), [fresh(n, docs) for n in ("id", "h")]
-    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width, one_in)
+    cuts, work, names = Cuts(docs.sparkSession), Cuts(docs.sparkSession), [fresh(n, docs) for n in ("id", "h")]
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width, one_in, work)
     gone = cuts.cut(found.where("contaminated").select(F.col("id").alias(names[0]), F.col("h").alias(names[1])).distinct())
+    work.close()
     return docs.join(gone, docs[id_col].eqNullSafe(gone[names[0]]) & (row_hash(docs) == gone[names[1]]), "left_anti")

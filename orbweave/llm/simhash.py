@@ -220,9 +220,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (the least id of the row's component) of every row."""
     cuts = Cuts(df.sparkSession)
     rows = cuts.cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", width))
-    known = _rooted(rows, cuts, (F.min("id").alias("first"),), radius)
-    least = cuts.cut(known.groupBy("root").agg(F.min("first").alias("component_id")))
+    work = Cuts(df.sparkSession)
+    known = _rooted(rows, work, (F.min("id").alias("first"),), radius)
+    least = work.cut(known.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cuts.cut(known.join(least, "root").select("fp", "component_id"))
+    work.close()
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -233,17 +235,18 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     chosen among narrow rows, and texts are only joined with the keys of what goes; of repeated rows, equal in all columns, one
     is picked out by a step of its own, which there is only if some are to stay.
     """
-    cuts = Cuts(df.sparkSession)
+    cuts, work = Cuts(df.sparkSession), Cuts(df.sparkSession)
     keyed = df.select(F.col(id_col).alias("id"), row_hash(df).alias("h"), F.col(text_col).alias("text"))
-    rows = cuts.cut(fingerprints(keyed, "text", width))
-    known = _rooted(rows, cuts, (), radius)
-    placed = cuts.cut(rows.groupBy("fp", "id", "h").agg(F.count("*").alias("n")).join(known, "fp").select("root", "id", "h", "n"))
-    best = cuts.cut(placed.groupBy("root").agg(F.min("id").alias("best")))
-    tied = cuts.cut(placed.join(best, "root").where(F.col("id").eqNullSafe(F.col("best"))).groupBy("root").agg(F.min("h").alias("top")))
+    rows = work.cut(fingerprints(keyed, "text", width))
+    known = _rooted(rows, work, (), radius)
+    placed = work.cut(rows.groupBy("fp", "id", "h").agg(F.count("*").alias("n")).join(known, "fp").select("root", "id", "h", "n"))
+    best = work.cut(placed.groupBy("root").agg(F.min("id").alias("best")))
+    tied = work.cut(placed.join(best, "root").where(F.col("id").eqNullSafe(F.col("best"))).groupBy("root").agg(F.min("h").alias("top")))
     judged = placed.join(best, "root").join(tied, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best")) & (F.col("h") == F.col("top")))
+    judged = cuts.cut(judged.where("not stays or n > 1").select("id", "h", "stays"))
+    work.close()
     names = [fresh(n, df) for n in ("id", "h")]
     named = lambda part: part.select(*(F.col(c).alias(n) for c, n in zip(("id", "h"), names)))
-    judged = cuts.cut(judged.where("not stays or n > 1").select("id", "h", "stays"))
     match = lambda part: df[id_col].eqNullSafe(part[names[0]]) & (row_hash(df) == part[names[1]])
     gone = named(judged)
     kept = df.join(gone, match(gone), "left_anti")

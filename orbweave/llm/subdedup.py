@@ -550,9 +550,13 @@ def _without(df: DataFrame, gone: DataFrame, column: str, find, id_col: str, tex
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, recall: float = RECALL, least_words: int = RUN_WORDS) -> DataFrame:
     """``df`` with the passages cut out of the texts, and with ``cut_spans``: begins and ends, in turn, of what was cut, in bytes of the old text."""
-    cuts = Cuts(df.sparkSession)
+    cuts, work = Cuts(df.sparkSession), Cuts(df.sparkSession)
     whole = df.withColumn("cut_spans", F.array().cast("array<int>"))
-    gone = cuts.cut(repeated(whole, cuts, id_col, text_col, least, recall))
+    gone = cuts.cut(repeated(whole, work, id_col, text_col, least, recall))
+    work.close()
     left = cuts.cut(_without(whole, gone, "lines", lambda texts, lost: line_spans(texts, lost, least_words), id_col, text_col, "cut_spans"))
-    gone = shared_windows(left, cuts, id_col, text_col)
-    return left if gone is None else _without(left, cuts.cut(gone), "windows", window_spans, id_col, text_col, "cut_spans")
+    cuts.drop(gone)
+    gone = shared_windows(left, work, id_col, text_col)
+    gone = None if gone is None else cuts.cut(gone)
+    work.close()
+    return left if gone is None else _without(left, gone, "windows", window_spans, id_col, text_col, "cut_spans")

@@ -150,6 +150,7 @@ def judge(
     spark: SparkSession = df.sparkSession
     cuts = Cuts(spark)
     kind = df.schema[id_col].dataType.simpleString()
+    work = Cuts(spark)
     rules = {"B": {"".join(split_rule(r)) for r in block}}
     rules["A"] = {"".join(split_rule(r)) for r in allow} - rules["B"]
     prefixes = tuple(sorted({len(split_rule(r)[1]) for r in (*block, *allow)}))
@@ -173,7 +174,7 @@ def judge(
     marked = own.union(listed).groupBy("key").agg(F.max("list").alias("list"))
     n = listed.count()
     shards = max(1, -(-n // shard_keys))
-    marked = cuts.cut(marked.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")))
+    marked = work.cut(marked.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")))
 
     out = df.select(F.col(id_col), F.col(url_col).alias("url")).withColumns({"rule": F.lit(None).cast("string"), "list": F.lit(None).cast("string")})
     for shard in range(shards):
@@ -181,7 +182,7 @@ def judge(
         made = {}
         for name, kind_of in (("B", "R"), ("A", "R"), ("D", "D")):
             mine = part.where(F.col("key").startswith(kind_of))
-            made[name] = build(mine.where(F.col("list") == name).select("key"), mine.where(~F.col("list").eqNullSafe(name)).select("key"), cuts)
+            made[name] = build(mine.where(F.col("list") == name).select("key"), mine.where(~F.col("list").eqNullSafe(name)).select("key"), work)
         sent = spark.sparkContext.broadcast(made)
 
         def look(batch: pa.RecordBatch, shard=shard, sent=sent) -> pa.RecordBatch:
@@ -218,6 +219,8 @@ def judge(
         if shards > 1:
             out = cuts.cut(out)
 
+    work.close()
+
     def last(batch: pa.RecordBatch) -> pa.RecordBatch:
         halves = [split_url(u) for u in batch.column(1).to_pylist()]
         verdict = ["allow" if x in (None, "A") else "block" for x in batch.column(3).to_pylist()]
