@@ -30,9 +30,9 @@ from orbweave.llm.common import map_chunks
 
 #: Matches longer than this are encoded anew each time, shorter ones once per worker.
 MEMO_CHARS = 48
-#: Entries of each of the two generations of a worker's memo, about 35 MB. A full young one becomes the old one, whose
+#: Entries of each of the two generations of a worker's memo, about 70 MB. A full young one becomes the old one, whose
 #: entries come back as they are met, so that frequent words stay and rare ones go.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 300_000
 #: Entries of its memos of pairs, subtrees and windows each, about 15 MB.
 SMALL_ENTRIES = 100_000
 #: Halving ends at so many bytes.
