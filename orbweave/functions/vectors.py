@@ -36,9 +36,10 @@ def scale(a: Vec, s) -> Vec:
 
 
 def divide(a: Vec, s) -> Vec:
-    """Component-wise quotient; null where the divisor is zero."""
+    """Component-wise quotient; by zero it is an infinity with the component's sign, or NaN for zero, as floating point has it."""
     s = s if isinstance(s, Column) else F.lit(float(s))
-    return tuple(F.try_divide(p.cast("double"), s.cast("double")).cast("float") for p in a)
+    endless = lambda p: F.when(p > 0, F.lit(float("inf"))).when(p < 0, F.lit(float("-inf"))).when(p == 0, F.lit(float("nan")))
+    return tuple(F.when(s == 0, endless(p)).otherwise(F.try_divide(p.cast("double"), s.cast("double"))).cast("float") for p in a)
 
 
 def dot(a: Vec, b: Vec) -> Column:

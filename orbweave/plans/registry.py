@@ -49,49 +49,60 @@ _A, _B = ("ax", "ay", "az"), ("bx", "by_", "bz")
 _NORM = "CAST(sqrt(CAST(ax*ax+ay*ay+az*az AS FLOAT)) AS FLOAT)"
 
 
+def _named(**vectors) -> list:
+    """Columns name_x, name_y and name_z of vectors."""
+    return [c.alias(f"{name}_{axis}") for name, v in vectors.items() for c, axis in zip(v, "xyz")]
+
+
+def _each(name: str, form: str) -> str:
+    """The same in SQL; ``@`` stands for the axis, and the second vector's y is by_."""
+    return ", ".join(form.replace("b@", "by_" if c == "y" else "b@").replace("@", c) + f" AS {name}_{c}" for c in "xyz")
+
+
+_FLAT = lambda value: f"CAST({value} AS FLOAT)"
+
+
 @query(
     "vec3_scalar",
     f"""WITH {_PAIRS}
 SELECT id, {_NORM} AS length, CAST(sqrt(CAST((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)+(az-bz)*(az-bz) AS FLOAT)) AS FLOAT) AS distance,
   CAST(ax*bx+ay*by_+az*bz AS FLOAT) AS dot, ay*bz-az*by_ AS cross_x, az*bx-ax*bz AS cross_y, ax*by_-ay*bx AS cross_z,
-  round(CASE WHEN {_NORM} > 0 THEN CAST(ax AS DOUBLE)/{_NORM} ELSE ax END, 5) AS unit_x,
-  ax+bx AS sum_x, ay-by_ AS diff_y, az*CAST(2 AS FLOAT) AS twice_z, round(CAST(ax AS DOUBLE)/4, 5) AS quarter_x,
-  least(ax,bx) AS min_x, greatest(az,bz) AS max_z FROM pairs""",
+  {_each("unit", f"round(CAST(CASE WHEN {_NORM} > 0 THEN CAST(CAST(a@ AS DOUBLE)/{_NORM} AS FLOAT) ELSE a@ END AS DOUBLE), 5)")}, {_each("sum", "a@+b@")}, {_each("diff", "a@-b@")},
+  {_each("twice", f"a@*{_FLAT(2)}")}, {_each("quarter", "round(CAST(CAST(CAST(a@ AS DOUBLE)/4 AS FLOAT) AS DOUBLE), 5)")}, {_each("least", "least(a@,b@)")}, {_each("greatest", "greatest(a@,b@)")} FROM pairs""",
 )
 def vec3_scalar(spark, sf_dir):
     a, b = V.vec(*_A), V.vec(*_B)
-    c = V.cross(a, b)
-    return _pairs(spark, sf_dir).select(
-        "id", V.length(a).alias("length"), V.distance(a, b).alias("distance"), V.dot(a, b).alias("dot"), c[0].alias("cross_x"), c[1].alias("cross_y"), c[2].alias("cross_z"),
-        F.round(V.normalize(a)[0].cast("double"), 5).alias("unit_x"), V.add(a, b)[0].alias("sum_x"), V.sub(a, b)[1].alias("diff_y"), V.scale(a, 2)[2].alias("twice_z"), F.round(V.divide(a, 4)[0].cast("double"), 5).alias("quarter_x"),
-        V.least(a, b)[0].alias("min_x"), V.greatest(a, b)[2].alias("max_z"),
-    )
+    rounded = lambda v: tuple(F.round(c.cast("double"), 5) for c in v)
+    vectors = _named(cross=V.cross(a, b), unit=rounded(V.normalize(a)), sum=V.add(a, b), diff=V.sub(a, b), twice=V.scale(a, 2), quarter=rounded(V.divide(a, 4)), least=V.least(a, b), greatest=V.greatest(a, b))
+    return _pairs(spark, sf_dir).select("id", V.length(a).alias("length"), V.distance(a, b).alias("distance"), V.dot(a, b).alias("dot"), *vectors)
 
 
 @query(
     "aabb_scalar",
     f"""WITH {_PAIRS}
-SELECT id, least(ax,bx) AS min_x, greatest(ay,by_) AS max_y, (least(az,bz)+greatest(az,bz))*CAST(0.5 AS FLOAT) AS center_z,
-  least(least(ax,bx), CAST(0 AS FLOAT)) AS merged_min_x, greatest(greatest(ax,bx), CAST(1 AS FLOAT)) AS merged_max_x FROM pairs""",
+SELECT id, {_each("low", "least(a@,b@)")}, {_each("high", "greatest(a@,b@)")}, {_each("center", f"(least(a@,b@)+greatest(a@,b@))*{_FLAT(0.5)}")},
+  {_each("merged_low", f"least(least(a@,b@), {_FLAT(0)})")}, {_each("merged_high", f"greatest(greatest(a@,b@), {_FLAT(1)})")} FROM pairs""",
 )
 def aabb_scalar(spark, sf_dir):
     a, b = V.vec(*_A), V.vec(*_B)
     box = Box(a, a).grow(b)
     merged = box.merge(Box(V.vec(0, 0, 0), V.vec(1, 1, 1)))
-    return _pairs(spark, sf_dir).select("id", box.low[0].alias("min_x"), box.high[1].alias("max_y"), box.center()[2].alias("center_z"), merged.low[0].alias("merged_min_x"), merged.high[0].alias("merged_max_x"))
+    return _pairs(spark, sf_dir).select("id", *_named(low=box.low, high=box.high, center=box.center(), merged_low=merged.low, merged_high=merged.high))
 
 
-@query("sphere_bounds", f"WITH {duck('points_emb')} SELECT id, x-CAST(0.25 AS FLOAT) AS min_x, y+CAST(0.25 AS FLOAT) AS max_y, z AS packed_z, CAST(0.25 AS FLOAT) AS packed_r FROM points_emb")
+@query("sphere_bounds", f"WITH {duck('points_emb')} SELECT id, {_each('low', f'@-{_FLAT(0.25)}')}, {_each('high', f'@+{_FLAT(0.25)}')}, x AS packed_0, y AS packed_1, z AS packed_2, {_FLAT(0.25)} AS packed_3 FROM points_emb")
 def sphere_bounds(spark, sf_dir):
     ball = rays.spheres().with_radius(0.25)
-    box = ball.bounds()
-    return view(spark, sf_dir, "points_emb").select("id", box.low[0].alias("min_x"), box.high[1].alias("max_y"), ball.packed()[2].alias("packed_z"), ball.packed()[3].alias("packed_r"))
+    return view(spark, sf_dir, "points_emb").select("id", *_named(low=ball.bounds().low, high=ball.bounds().high), *(ball.packed()[i].alias(f"packed_{i}") for i in range(4)))
 
 
-@query("triangle_bounds", f"WITH {duck('triangles')} SELECT tri_id, least(ax,bx,cx) AS min_x, greatest(ay,by_,cy) AS max_y, greatest(az,bz,cz) AS max_z, cx AS packed_6 FROM triangles")
+_CORNERS = [f"{p}{'y_' if p + c == 'by' else c}" for p in "abc" for c in "xyz"]
+
+
+@query("triangle_bounds", f"WITH {duck('triangles')} SELECT tri_id, {_each('low', 'least(a@,b@,c@)')}, {_each('high', 'greatest(a@,b@,c@)')}, {', '.join(f'{c} AS packed_{i}' for i, c in enumerate(_CORNERS))} FROM triangles")
 def triangle_bounds(spark, sf_dir):
-    box = rays.triangles().bounds()
-    return view(spark, sf_dir, "triangles").select("tri_id", box.low[0].alias("min_x"), box.high[1].alias("max_y"), box.high[2].alias("max_z"), rays.triangles().packed()[6].alias("packed_6"))
+    shape = rays.triangles()
+    return view(spark, sf_dir, "triangles").select("tri_id", *_named(low=shape.bounds().low, high=shape.bounds().high), *(shape.packed()[i].alias(f"packed_{i}") for i in range(9)))
 
 
 @query(
@@ -255,6 +266,11 @@ def morton_sorted(spark, sf_dir):
     return ordering.morton_ranked(view(spark, sf_dir, "points_ord"))
 
 
+@query("morton_isotropic_sorted", f"{_morton_sql('points_ord', True)} SELECT id, code, CAST(row_number() OVER (ORDER BY code, id) - 1 AS BIGINT) AS position FROM coded")
+def morton_isotropic_sorted(spark, sf_dir):
+    return ordering.morton_ranked(view(spark, sf_dir, "points_ord"), isotropic=True).select("id", "code", "position")
+
+
 @query("morton_isotropic", f"{_morton_sql('points_ord', True)} SELECT id, code FROM coded")
 def morton_isotropic(spark, sf_dir):
     return ordering.morton_codes(view(spark, sf_dir, "points_ord"), isotropic=True).select("id", "code")
@@ -312,6 +328,7 @@ _knn("knn_exclude_self", "points_ord", 5, "grid", exclude_self=True)
 _knn("knn_planar", "points_planar", 5, "grid")
 _knn("knn_ties", "points_tie", 5, "grid")
 _knn("knn_all", "points_emb", 5, "grid", 1)
+_knn("knn_fixed", "points_ord", 5, "grid", schedule=Schedule(heuristic="fixed", fixed_radius=4.0, multiplier=2.5))
 _knn("knn_sampled_max", "points_ord", 5, "grid", schedule=Schedule(heuristic="max", multiplier=2.0))
 
 

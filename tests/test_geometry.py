@@ -18,7 +18,9 @@ def test_vectors(spark):
     a, b, zero = V.vec(3, 4, 0), V.vec(1, 2, 2), V.vec(0, 0, 0)
     assert one(spark, V.length(a), V.distance(a, b), V.dot(a, b)) == (5.0, pytest.approx(math.sqrt(12), rel=1e-6), 11.0)
     assert one(spark, *V.cross(a, b)) == (8.0, -6.0, 2.0) and one(spark, *V.normalize(a)) == (pytest.approx(0.6), pytest.approx(0.8), 0.0)
-    assert one(spark, *V.normalize(zero)) == (0, 0, 0) and one(spark, *V.divide(a, 0)) == (None,) * 3
+    assert one(spark, *V.normalize(zero)) == (0, 0, 0) and one(spark, *V.divide(a, 2)) == (1.5, 2, 0)
+    over = one(spark, *V.divide(V.vec(3, -4, 0), 0))
+    assert over[:2] == (math.inf, -math.inf) and math.isnan(over[2])
     assert one(spark, *V.least(a, b), *V.greatest(a, b)) == (1, 2, 0, 3, 4, 2) and tuple(one(spark, V.packed(a))[0]) == (3, 4, 0)
 
 
