@@ -64,12 +64,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
-def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text") -> DataFrame:
+def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``fn`` over slices of bounded size; nothing is kept from one slice to the next but what ``fn`` caches itself."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, limit):
                 yield fn(part)
 
     return map_batches(df, run, schema)

@@ -51,6 +51,8 @@ WINDOW, ANCHOR = 50, 25
 BLOCK = 512
 #: A prefilter has at most so many bits (32 MB); with more keys it lets more through, and the join after it decides.
 MOST_BITS = 1 << 28
+#: Bytes of text that are looked at once; words, digests and signatures take up to a hundred times as much in a worker.
+SLICE_BYTES = 1 << 20
 #: Words longer than this many bytes have their rest hashed one by one.
 LONG_WORD = 256
 
@@ -217,7 +219,7 @@ def paragraph_rows(docs: DataFrame, id_type: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICE_BYTES):
                 units = Units(text_bytes(part.column(2)))
                 lines = units.paragraphs()
                 found = units.digests(units.first[lines], units.first[lines + 1])
@@ -244,7 +246,7 @@ def _bands(docs: DataFrame, shape: tuple[int, int], only: object | None = None)
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICE_BYTES):
                 units = Units(text_bytes(part.column(2)))
                 lines = units.paragraphs()
                 distinct = dict(zip(units.digests(units.first[lines], units.first[lines + 1]), lines.tolist()))
@@ -450,7 +452,7 @@ def shared_windows(df: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> Dat
 
     def anchors(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICE_BYTES):
                 anchor, _, text = _windows(Units(text_bytes(part.column(2))))
                 new = np.ones(len(anchor), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])  # neighbours mostly share theirs
@@ -464,7 +466,7 @@ def shared_windows(df: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> Dat
 
     def around(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICE_BYTES):
                 units = Units(text_bytes(part.column(2)))
                 anchor, at, text = _windows(units)
                 keep = some.value(anchor)
@@ -545,7 +547,7 @@ def _without(df: DataFrame, gone: DataFrame, column: str, find, id_col: str, tex
             columns[at], columns[where] = pa.array(texts, columns[at].type), pa.array(spans, pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_chunks(joined, run, df.schema, text_col)
+    return map_chunks(joined, run, df.schema, text_col, SLICE_BYTES)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, recall: float = RECALL, least_words: int = RUN_WORDS) -> DataFrame:
