@@ -19,14 +19,13 @@ import base64
 import hashlib
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import map_chunks
+from orbweave.llm.common import keep, map_chunks
 
 #: Matches longer than this are encoded anew each time, shorter ones once per worker.
 MEMO_CHARS = 48
@@ -168,9 +167,12 @@ class _Memo(dict):
         return out
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> TreeBpe:
-    """An encoder for a rank file, once per worker; raises ValueError if some token doesn't encode to itself."""
+    """An encoder for a rank file, kept by a worker; raises ValueError if some token doesn't encode to itself."""
+    return keep("bpe", (path, pattern), lambda: _read(path, pattern))
+
+
+def _read(path: str, pattern: str) -> TreeBpe:
     bpe = TreeBpe(read_ranks(path), pattern)
     for data, rank in bpe.ranks.items():
         if len(data) > 1 and bpe.merged(data) != [rank]:
@@ -187,7 +189,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
 
-    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, ids binary", text_col)
+    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, ids binary", text_col, owner="bpe")
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -199,7 +201,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
         out = [bpe.decode(x or b"") for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], [id_col, "ids", "decoded"])
 
-    return map_chunks(df.select(id_col, ids_col), run, f"`{id_col}` {kind}, ids binary, decoded binary", ids_col)
+    return map_chunks(df.select(id_col, ids_col), run, f"`{id_col}` {kind}, ids binary, decoded binary", ids_col, owner="bpe")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,4 +217,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
             b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text_col)
+    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", text_col, owner="bpe")

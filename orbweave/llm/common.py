@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from orbweave.plans.cuts import Cuts
 
-__all__ = ["Cuts", "chunks", "held_out", "learnable", "map_batches", "map_chunks", "release", "row_hash", "small_batches", "text_bytes"]
+__all__ = ["Cuts", "chunks", "forget", "held_out", "keep", "learnable", "map_batches", "map_chunks", "release", "row_hash", "small_batches", "text_bytes"]
 
 #: Bytes of text that a Python function gets at once.
 CHUNK_BYTES = 2 << 20
@@ -51,10 +53,31 @@ def release() -> None:
         pass  # another C library
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` in small batches; a worker hands its memory back when a task ends."""
+#: What this process keeps from one task to the next: the operator that it is for, what it was made from, and the thing itself.
+_kept: list[tuple[str, tuple, Any]] = []
+
+
+def keep(owner: str, key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, made once for tasks of the same operator and key that follow each other in a process."""
+    if not _kept or _kept[0][:2] != (owner, key):
+        forget()
+        _kept.append((owner, key, make()))
+    return _kept[0][2]
+
+
+def forget(but: str | None = None) -> None:
+    """Drops what is kept for another operator: workers go from one operator to the next, and would hold the memos of all."""
+    if _kept and _kept[0][0] != but:
+        _kept.clear()
+        gc.collect()  # memos refer to what they are memos of
+        release()
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, owner: str | None = None) -> DataFrame:
+    """``mapInArrow`` in small batches; a worker hands its memory back when a task ends, but for what is kept for the ``owner``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
         try:
             yield from fn(batches)
         finally:
@@ -64,15 +87,15 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
-def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
-    """``fn`` over slices of bounded size; nothing is kept from one slice to the next but what ``fn`` caches itself."""
+def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text", limit: int = CHUNK_BYTES, owner: str | None = None) -> DataFrame:
+    """``fn`` over slices of bounded size; nothing stays from one slice to the next but what ``fn`` has kept for the ``owner``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, column, limit):
                 yield fn(part)
 
-    return map_batches(df, run, schema)
+    return map_batches(df, run, schema, owner)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

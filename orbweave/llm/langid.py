@@ -24,14 +24,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import learnable, map_chunks
+from orbweave.llm.common import keep, learnable, map_chunks
 
 #: Documents that a language's sample is made of, of all languages' together, and their length.
 ROWS, ALL_ROWS, MOST_CHARS = 16, 256, 4_000
@@ -115,8 +114,12 @@ class CrossParser:
         return lang, np.where(known, score, 0.0).tolist(), np.where(known, least, np.inf), np.where(known, later, np.inf)
 
 
-@lru_cache(maxsize=1)
 def _tables(parser: CrossParser) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """The tables of a parser, kept by a worker."""
+    return keep("langid", (parser,), lambda: _made(parser))
+
+
+def _made(parser: CrossParser) -> tuple[np.ndarray, list[np.ndarray], int]:
     """Byte classes and, per language, the flat table of (state, class) to the next state's row; negative, by its complement, where a phrase ends before this byte."""
     found = sorted(set(b"".join(parser.samples)))
     classes = np.ones(256, np.uint8)
@@ -241,7 +244,7 @@ def predict(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col
         lang, score, bits, _ = parser.parse([t or "" for t in batch.column(1).to_pylist()])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits)], [id_col, "lang_pred", "score", "bits"])
 
-    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double, bits double", text_col)
+    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double, bits double", text_col, owner="langid")
 
 
 def keep_known(df: DataFrame, parser: CrossParser, text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
@@ -256,4 +259,4 @@ def keep_known(df: DataFrame, parser: CrossParser, text_col: str = "text", most_
         *_, later = parser.parse([t or "" for t in batch.column(at).to_pylist()])
         return batch.filter(pa.array(later <= most_bits))
 
-    return map_chunks(df, run, df.schema, text_col)
+    return map_chunks(df, run, df.schema, text_col, owner="langid")

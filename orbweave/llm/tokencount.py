@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import map_chunks
+from orbweave.llm.common import keep, map_chunks
 
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -90,8 +89,12 @@ class HeapCounter(dict):
         return len(parts) - 1 + sum(self[p] for part in parts for p in self.pattern.findall(part))
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> HeapCounter:
+    """A counter for a vocabulary file, kept by a worker."""
+    return keep("tokencount", (path,), lambda: _read(path))
+
+
+def _read(path: str) -> HeapCounter:
     with open(path, encoding="utf-8") as file:
         return HeapCounter(json.load(file))
 
@@ -106,4 +109,4 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean", text_col)
+    return map_chunks(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean", text_col, owner="tokencount")
