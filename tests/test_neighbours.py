@@ -69,6 +69,22 @@ def test_fewer_points_than_k_and_none(spark):
         N.knn(p, p, 0)
 
 
+def test_a_very_large_k_needs_no_more_memory(spark, monkeypatch):
+    points = cloud(300, 4, "lattice")
+    p = spark.createDataFrame(points, POINT)
+    for method in ("blocks", "grid"):
+        assert rows(N.knn(p, p.where("id < 20"), 10**9, method=method)) == brute(points, points[:20], 10**9)
+    monkeypatch.setattr(N, "KEPT", 0)
+    monkeypatch.setattr(N, "HELD", 1)
+    batches = [b for b in p.toArrow().to_batches(max_chunksize=60)]
+    sent = type("Sent", (), {"value": (np.arange(20), np.array([r[1:] for r in points[:20]], np.float32))})
+    for k, exclude_self in ((7, False), (7, True), (100, False)):
+        found = [r for b in N._wide_scan(sent, k, exclude_self)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(found) <= 20 * min(k, 60) * len(batches)
+        best = [(q, r, i, d) for q in range(20) for r, (d, i) in enumerate(sorted((d, i) for at, i, d in found if at == q)[:k], 1)]
+        assert best == brute(points, points[:20], k, exclude_self)
+
+
 def test_many_points_at_one_place(spark):
     points = [(i, 1.0, 1.0, 1.0) for i in range(500)] + [(500 + i, float(i), 0.0, 0.0) for i in range(20)]
     p = spark.createDataFrame(points, POINT)
