@@ -21,12 +21,15 @@ from orbweave.plans.cuts import Cuts, spread
 
 #: Points nearer than this (squared) are the query itself where it is excluded.
 SELF = 1e-10
-#: Queries of a block; they are sent to every task, 20 bytes each. With more queries than one block the grid is taken without being asked for.
+#: With more queries than these the grid is taken without being asked for. A scan takes so many at least.
 BLOCK = 4_096
+#: Queries of a scan at most; they are sent to every task, 20 bytes each.
+SENT = 1 << 16
 #: Best points that a task keeps, queries times k, 12 bytes each.
 KEPT = 1 << 22
-#: Points that a task holds at once, and pairs that it makes at once of these.
+#: Points that a task holds at once, pairs that it makes at once of these, and the queries and points of a tile.
 HELD, CELLS = 1 << 18, 1 << 20
+QUERY_TILE, POINT_TILE = 64, 128
 #: What a search without a schedule of its own goes by: a schedule's defaults begin with fewer queries settled and grow faster,
 #: which makes more pairs here.
 USUAL = Schedule(percentile=0.5, multiplier=2.0)
@@ -57,6 +60,26 @@ def thinned(data: DataFrame, k: int) -> DataFrame:
     return data.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n")
 
 
+def _curve(at: np.ndarray) -> np.ndarray:
+    """An order of places in which near ones follow each other: the Morton curve of cells as wide on all axes."""
+    at = np.nan_to_num(at.astype(np.float64), posinf=np.finfo(np.float32).max, neginf=np.finfo(np.float32).min)
+    low = at.min(axis=0)
+    width = max(float((at.max(axis=0) - low).max()), np.finfo(np.float64).tiny)
+    code = np.zeros(len(at), np.uint64)
+    for axis, values in enumerate(((at - low) * ((2.0**21 - 1) / width)).T):
+        bits = values.astype(np.uint64)
+        for step, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            bits = (bits | bits << np.uint64(step)) & np.uint64(mask)
+        code |= bits << np.uint64(axis)
+    return np.argsort(code, kind="stable")
+
+
+def _boxes(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest coordinates of each ``size`` places in a row."""
+    begin = np.arange(0, len(at), size)
+    return np.minimum.reduceat(at, begin).astype(np.float64), np.maximum.reduceat(at, begin).astype(np.float64)
+
+
 def _held(batches):
     """(ids, places) of up to HELD points and a batch more."""
     held, n = [], 0
@@ -87,39 +110,65 @@ def _found(ids: np.ndarray, point: np.ndarray, d2: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(point[part]), pa.array(d2[part])], ["qid", "id", "d2"])
 
 
+def _merge(best_d: np.ndarray, best_i: np.ndarray, d2: np.ndarray, point: np.ndarray) -> None:
+    """Puts what is among the k least of a row, by distance and id, into its best."""
+    k, near = best_d.shape[1], d2 <= best_d[:, -1:]
+    if d2.shape[1] > k and np.count_nonzero(near) > 4 * near.shape[0] * k:
+        # what is beyond the k-th distance goes before the sort; ties with it stay
+        near &= d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+    r, c = np.nonzero(near)
+    better = (d2[r, c] < best_d[r, -1]) | (point[c] < best_i[r, -1])
+    r, c = r[better], c[better]
+    if not len(r):
+        return
+    rows, first = np.unique(r, return_index=True)
+    d, i = np.concatenate((d2[r, c], best_d[rows].ravel())), np.concatenate((point[c], best_i[rows].ravel()))
+    order = np.lexsort((i, d, np.concatenate((r, np.repeat(rows, k)))))
+    start = first + k * np.arange(len(rows))
+    take = order[(start[:, None] + np.arange(k)).ravel()]
+    best_d[rows], best_i[rows] = d[take].reshape(-1, k), i[take].reshape(-1, k)
+
+
 def _block_scan(sent, k: int, exclude_self: bool):
-    """Keeps each task's k best points of every query of the block."""
+    """Keeps each task's k best points of every query of the block.
+
+    Queries and held points are ordered along a curve and cut into tiles. A tile of queries meets tiles of points from
+    the nearest box on, until the next box is farther than the worst of its k-th distances. What is skipped can be no
+    neighbour: FLOAT squares are no less than the boxes' distance but for their rounding, which has a margin.
+    """
 
     def run(batches):
         ids, at = sent.value
+        if not len(ids):
+            return
+        order = _curve(at)
+        ids, at = ids[order], at[order]
         best_d = np.full((len(ids), k), np.inf, np.float32)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            point, *axes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for low in range(0, len(point), 2048):
-                part, d2 = slice(low, low + 2048), None
-                for q, a in zip(at.T, axes):
-                    d = a[part][None, :] - q[:, None]
-                    d2 = d * d if d2 is None else d2 + d * d
-                if exclude_self:
-                    d2[d2 <= np.float32(SELF)] = np.inf
-                rows = np.flatnonzero((d2 <= best_d[:, -1:]).any(axis=1))
-                if not len(rows):
-                    continue
-                both_d = np.concatenate((best_d[rows], d2[rows]), axis=1)
-                both_i = np.concatenate((best_i[rows], np.broadcast_to(point[part], d2[rows].shape)), axis=1)
-                if both_d.shape[1] > 4 * k + 16:
-                    # what is beyond the k-th distance goes before the sort; ties with it stay
-                    limit = np.partition(both_d, k - 1, axis=1)[:, k - 1 : k]
-                    width = int((both_d <= limit).sum(axis=1).max())
-                    near = np.argpartition(both_d, width - 1, axis=1)[:, :width] if width < both_d.shape[1] else np.arange(width)[None, :].repeat(len(rows), 0)
-                    both_d, both_i = np.take_along_axis(both_d, near, 1), np.take_along_axis(both_i, near, 1)
-                order = np.lexsort((both_i, both_d), axis=1)[:, :k]
-                best_d[rows], best_i[rows] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
+        query_low, query_high = _boxes(at, QUERY_TILE)
+        for point, where in _held(batches):
+            order = _curve(where)
+            point, where = point[order], where[order]
+            low, high = _boxes(where, POINT_TILE)
+            for tile, begin in enumerate(range(0, len(ids), QUERY_TILE)):
+                rows = slice(begin, begin + QUERY_TILE)
+                gap = np.maximum(np.maximum(low - query_high[tile], query_low[tile] - high), 0)
+                least = (gap * gap).sum(axis=1) * (1 - 1e-6) - 1e-36
+                least[np.isnan(least)] = -np.inf
+                worst = float(best_d[rows, -1].max())
+                near = np.flatnonzero(least <= worst)
+                near = near[np.argsort(least[near])]
+                done, step = 0, 1
+                while done < len(near) and least[near[done]] <= worst:
+                    some = near[done : done + step]
+                    some = some[least[some] <= worst]
+                    columns = (some[:, None] * POINT_TILE + np.arange(POINT_TILE)).ravel()
+                    columns = columns[columns < len(point)]
+                    _merge(best_d[rows], best_i[rows], _squares(at[rows], where[columns], exclude_self), point[columns])
+                    worst = float(best_d[rows, -1].max())
+                    done, step = done + step, min(2 * step, 16)
         q, j = np.nonzero(np.isfinite(best_d))
-        for low in range(0, len(q), 1 << 16):
-            part = slice(low, low + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[part]]), pa.array(best_i[q[part], j[part]]), pa.array(best_d[q[part], j[part]])], ["qid", "id", "d2"])
+        yield from _found(ids[q], best_i[q, j], best_d[q, j])
 
     return run
 
@@ -147,11 +196,12 @@ def _wide_scan(sent, k: int, exclude_self: bool):
     return run
 
 
-def knn_blocks(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+def knn_blocks(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = SENT) -> DataFrame:
     """Scans the data once per block of queries. The queries' ids are unique."""
     points, asked = spread(_points(data)), _queries(queries)
     spark, out, held = data.sparkSession, None, []
     wide = k * BLOCK > KEPT
+    block = min(block, BLOCK if wide else max(BLOCK, KEPT // (4 * k)))
 
     def scan(rows: list) -> DataFrame:
         ids, at = np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], np.float32).reshape(-1, 3)

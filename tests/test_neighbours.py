@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orbweave.operators import neighbours as N
@@ -85,6 +86,26 @@ def test_a_very_large_k_needs_no_more_memory(spark, monkeypatch):
         assert best == brute(points, points[:20], k, exclude_self)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e18])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_block_scans_skip_only_far_tiles(monkeypatch, scale, exclude_self):
+    rng = np.random.default_rng(6)
+    at = np.round(np.concatenate([rng.normal(size=(3_000, 3)) + c for c in (0, 50, 100)]) * 4).astype(np.float32) * np.float32(scale)
+    points = [(i, *(float(x) for x in row)) for i, row in enumerate(at)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + 1_000)), *(pa.array(np.ascontiguousarray(at[low : low + 1_000, i])) for i in range(3))], ["id", "x", "y", "z"]) for low in range(0, 9_000, 1_000)]
+    asked = points[::30]
+    pairs, squares = [], N._squares
+    monkeypatch.setattr(N, "_squares", lambda a, b, *rest: pairs.append(len(a) * len(b)) or squares(a, b, *rest))
+    monkeypatch.setattr(N, "HELD", 4_000)
+    sent = type("Sent", (), {"value": (np.arange(0, 9_000, 30), at[::30])})
+    with np.errstate(over="ignore"):
+        found = [r for b in N._block_scan(sent, 5, exclude_self)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        ranked = [(q[0], r, i, d) for q in asked for r, (d, i) in enumerate(sorted((d, i) for at, i, d in found if at == q[0]), 1)]
+        assert ranked == brute(points, asked, 5, exclude_self)
+    if scale == 1:
+        assert sum(pairs) < len(asked) * len(points) / 1.5
+
+
 def test_many_points_at_one_place(spark):
     points = [(i, 1.0, 1.0, 1.0) for i in range(500)] + [(500 + i, float(i), 0.0, 0.0) for i in range(20)]
     p = spark.createDataFrame(points, POINT)
@@ -154,3 +175,10 @@ def test_validation(spark):
     assert [r["qid"] for r in validation.close_distances(wrong, truth).where("not ok").collect()] == [3]
     assert {r["qid"] for r in validation.failures(wrong, truth).collect()} == {3}
     assert validation.match_ratio(truth.where("qid != 4"), truth).first()["matching"] == 19
+
+
+def test_thousands_of_queries_share_a_scan(spark):
+    p = spark.range(20_000).selectExpr("id", "float(id % 100) AS x", "float(id % 7) AS y", "float(0) AS z")
+    found = N.knn_blocks(p, p.where("id < 9000"), 1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.where("d2 = 0").count() == 9_000
