@@ -97,3 +97,15 @@ def test_tree(spark):
     massless = octree.build(spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0), (2, 2.0, 2.0, 2.0, -1.0)], BODY)).nodes.first()
     assert (massless["com_x"], massless["com_y"], massless["com_z"]) == (0, 0, 0)
     assert {r["key"]: r["n"] for r in octree.octants(tree).collect()} == {k: v["n"] for k, v in nodes.items() if len(k) == 1}
+
+
+def test_command_line_at_theta_zero(spark, tmp_path, monkeypatch):
+    from orbweave import __main__ as cli
+
+    rows = bodies(300, 7)
+    (tmp_path / "bodies.csv").write_text("".join(",".join(map(str, r[1:])) + "\n" for r in rows))
+    frontiers = []
+    monkeypatch.setattr(nbody, "_pull", lambda *a: frontiers.append(a))
+    words = cli.main(["gravity", str(tmp_path / "bodies.csv"), "0", "--g", "1"]).split()
+    assert not frontiers and int(words[0]) == 300
+    assert np.isclose(float(words[4].rstrip(",")), np.linalg.norm(brute(rows), axis=1).sum(), rtol=1e-4)
