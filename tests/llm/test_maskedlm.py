@@ -144,3 +144,16 @@ def test_scores_equal_brute_force(spark):
     assert sorted(key(r["n_tokens"], r["log_prob"], r["log_prob"] - (r["mean_gain"] or 0) * r["n_tokens"]) for r in got) == sorted(key(*w) for w in want)
     assert sum(abs(t - p) > 1 for _, t, p in want) >= 5
     assert M.elsewhere(frame(spark, ["nothing", "twice here"]), M.Cuts(spark), "doc_id", "text") is None
+
+
+def test_every_token_has_a_context():
+    texts = ["short", None, "", "a longer text of several words, and some more " * 9, "é"]
+    n = [len((t or "").encode()) for t in texts]
+    c, token, text, at = M.contexts(texts)
+    assert at.tolist() == list(range(sum(n))) and np.bincount(text, minlength=5).tolist() == n
+    assert bytes(token.astype(np.uint8).tolist()) == "".join(t or "" for t in texts).encode()
+
+
+def test_short_copies_gain(spark):
+    got = {r["doc_id"]: r["mean_gain"] for r in M.score(frame(spark, ["hi you", "hi you", "quite another"]), M.fit(frame(spark, ["hi you", "quite another"]), rounds=1, steps=5)).collect()}
+    assert got[0] > 0.1 and got[1] > 0.1 and got[2] == 0
