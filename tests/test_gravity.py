@@ -49,6 +49,7 @@ def test_each_pair_is_computed_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, BODY)
     for block in (7, 40, 1_000):
         assert np.allclose(forces(nbody.exact(df, 1.0, block=block)), brute(rows))
+    assert np.allclose(forces(nbody.exact(df, 1.0, "plain", block=40)), brute(rows), rtol=1e-4, atol=1e-6)
 
 
 def test_theta_zero_lists_no_pairs(spark):
