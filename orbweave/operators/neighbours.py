@@ -24,12 +24,14 @@ SELF = 1e-10
 #: With more queries than these the grid is taken without being asked for. A scan takes so many at least.
 BLOCK = 4_096
 #: Queries of a scan at most; they are sent to every task, 20 bytes each.
-SENT = 1 << 16
+SENT = 1 << 18
 #: Best points that a task keeps, queries times k, 12 bytes each.
 KEPT = 1 << 22
-#: Points that a task holds at once, pairs that it makes at once of these, and the queries and points of a tile.
+#: Points that a task holds at once where it keeps nothing, pairs that it makes at once of these, and the queries and points of a tile.
 HELD, CELLS = 1 << 18, 1 << 20
 QUERY_TILE, POINT_TILE = 64, 128
+#: Times as many points are held, some 100 bytes each, where they are ordered: a scan of the queries costs about as much for many as for few.
+ORDERED = 8
 #: What a search without a schedule of its own goes by: a schedule's defaults begin with fewer queries settled and grow faster,
 #: which makes more pairs here.
 USUAL = Schedule(percentile=0.5, multiplier=2.0)
@@ -80,13 +82,13 @@ def _boxes(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(at, begin).astype(np.float64), np.maximum.reduceat(at, begin).astype(np.float64)
 
 
-def _held(batches):
-    """(ids, places) of up to HELD points and a batch more."""
+def _held(batches, most: int):
+    """(ids, places) of up to ``most`` points and a batch more."""
     held, n = [], 0
     for batch in batches:
         held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
         n += len(held[-1][0])
-        if n >= HELD:
+        if n >= most:
             yield np.concatenate([h[0] for h in held]), np.column_stack([np.concatenate([h[i] for h in held]) for i in (1, 2, 3)])
             held, n = [], 0
     if n:
@@ -146,7 +148,7 @@ def _block_scan(sent, k: int, exclude_self: bool):
         best_d = np.full((len(ids), k), np.inf, np.float32)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
         query_low, query_high = _boxes(at, QUERY_TILE)
-        for point, where in _held(batches):
+        for point, where in _held(batches, ORDERED * HELD):
             order = _curve(where)
             point, where = point[order], where[order]
             low, high = _boxes(where, POINT_TILE)
@@ -178,7 +180,7 @@ def _wide_scan(sent, k: int, exclude_self: bool):
 
     def run(batches):
         ids, at = sent.value
-        for point, where in _held(batches):
+        for point, where in _held(batches, HELD):
             order = np.argsort(point)
             point, where = point[order], where[order]
             some = max(1, CELLS // len(point))
@@ -199,20 +201,18 @@ def _wide_scan(sent, k: int, exclude_self: bool):
 def knn_blocks(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = SENT) -> DataFrame:
     """Scans the data once per block of queries. The queries' ids are unique."""
     points, asked = spread(_points(data)), _queries(queries)
-    spark, out, held = data.sparkSession, None, []
+    spark = data.sparkSession
     wide = k * BLOCK > KEPT
     block = min(block, BLOCK if wide else max(BLOCK, KEPT // (4 * k)))
 
-    def scan(rows: list) -> DataFrame:
-        ids, at = np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], np.float32).reshape(-1, 3)
+    def scan(rows: pa.Table) -> DataFrame:
+        ids, at = rows.column(0).to_numpy(), np.column_stack([rows.column(i).to_numpy() for i in (1, 2, 3)])
         return points.mapInArrow((_wide_scan if wide else _block_scan)(spark.sparkContext.broadcast((ids, at)), k, exclude_self), "qid long, id long, d2 float")
 
-    for row in asked.toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == block:
-            out, held = scan(held) if out is None else out.unionByName(scan(held)), []
-    if held or out is None:
-        out = scan(held) if out is None else out.unionByName(scan(held))
+    rows, out = asked.toArrow(), None
+    for low in range(0, max(1, len(rows)), block):
+        part = scan(rows.slice(low, block))
+        out = part if out is None else out.unionByName(part)
     return _best(out, k)
 
 
