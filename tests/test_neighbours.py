@@ -106,6 +106,31 @@ def test_block_scans_skip_only_far_tiles(monkeypatch, scale, exclude_self):
         assert sum(pairs) < len(asked) * len(points) / 1.5
 
 
+def test_a_task_orders_its_points_once(monkeypatch):
+    at = np.round(np.random.default_rng(12).normal(size=(9_000, 3)) * 9).astype(np.float32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + 500)), *(pa.array(np.ascontiguousarray(at[low : low + 500, i])) for i in range(3))], ["id", "x", "y", "z"]) for low in range(0, 9_000, 500)]
+    points = [(i, *(float(x) for x in row)) for i, row in enumerate(at)]
+    sent = type("Sent", (), {"value": (np.arange(0, 9_000, 90), at[::90])})
+    ordered, curve = [], N._curve
+    monkeypatch.setattr(N, "_curve", lambda where: ordered.append(len(where)) or curve(where))
+    monkeypatch.setattr(N, "HELD", 1_500)
+    for times, held in ((8, [9_000]), (2, [3_000] * 3)):
+        monkeypatch.setattr(N, "ORDERED", times, raising=False)
+        ordered.clear()
+        found = [r for b in N._block_scan(sent, 5, False)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert ordered == [100, *held]
+        assert [(q[0], r, i, d) for q in points[::90] for r, (d, i) in enumerate(sorted((d, i) for a, i, d in found if a == q[0]), 1)] == brute(points, points[::90], 5)
+
+
+def test_queries_of_a_scan(spark):
+    p = spark.range(100).selectExpr("id", "float(id) AS x", "0F AS y", "0F AS z")
+    for n, scans in ((0, 1), (180_000, 1), (300_000, 2)):
+        found = N.knn_blocks(p, p.sparkSession.range(n).selectExpr("id", "float(id % 100) AS x", "0F AS y", "0F AS z"), 5)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == scans
+    assert N.knn_blocks(p, p.where("id < 7"), 1, block=3).select("qid", "id").orderBy("qid").collect() == [(i, i) for i in range(7)]
+    assert N.knn_blocks(p, p.where("id < 0"), 1).count() == 0
+
+
 def test_many_points_at_one_place(spark):
     points = [(i, 1.0, 1.0, 1.0) for i in range(500)] + [(500 + i, float(i), 0.0, 0.0) for i in range(20)]
     p = spark.createDataFrame(points, POINT)
@@ -182,3 +207,13 @@ def test_thousands_of_queries_share_a_scan(spark):
     found = N.knn_blocks(p, p.where("id < 9000"), 1)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert found.where("d2 = 0").count() == 9_000
+
+
+def test_lists_are_read_once_to_be_compared(spark):
+    p = spark.createDataFrame(cloud(200, 8), POINT)
+    lazy = N.knn(p, p.where("id < 20"), 5)
+    found = validation.match_ratio(spark.createDataFrame([(0, 1, 0, 0.0)], "qid long, rank long, id long, d2 float"), lazy)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    truth = spark.createDataFrame([(1, 1, 5, 1.0), (1, 2, 6, 4.0), (2, 1, 7, 1.0), (3, 1, 8, 9.0), (4, 1, 9, 1.0)], "qid long, rank long, id long, d2 float")
+    other = spark.createDataFrame([(1, 1, 6, 1.0), (1, 2, 5, 4.0), (2, 1, 7, 1.0), (2, 2, 8, 1.0), (3, 1, 1, 9.1), (5, 1, 5, 1.0)], truth.schema)
+    assert {r["qid"]: (r["same_ids"], r["ok"]) for r in validation.matches(other, truth).collect()} == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, False)}
