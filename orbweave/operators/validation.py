@@ -11,12 +11,12 @@ CLOSE = 1e-5
 def matches(found: DataFrame, truth: DataFrame, atol: float = CLOSE) -> DataFrame:
     """(qid, same_ids, ok): equal ids at all ranks, or as many neighbours and none farther than the truth's last plus ``atol``.
 
-    Both are (qid, rank, id, d2).
+    Both are (qid, rank, id, d2), and each is read once.
     """
-    a = found.groupBy("qid").agg(F.count("*").alias("n"), F.sqrt(F.max("d2")).alias("far"))
-    b = truth.groupBy("qid").agg(F.count("*").alias("true_n"), F.sqrt(F.max("d2")).alias("true_far"))
-    same = found.join(truth.select("qid", "rank", F.col("id").alias("true_id")), ["qid", "rank"]).where(F.col("id") == F.col("true_id")).groupBy("qid").agg(F.count("*").alias("equal"))
-    out = b.join(a, "qid", "left").join(same, "qid", "left")
+    sides = found.select("qid", "rank", "id", F.lit(1).alias("f"), F.lit(0).alias("t"), F.col("d2").alias("d"), F.lit(None).alias("td"))
+    sides = sides.unionByName(truth.select("qid", "rank", "id", F.lit(0).alias("f"), F.lit(1).alias("t"), F.lit(None).alias("d"), F.col("d2").alias("td")))
+    met = sides.groupBy("qid", "rank", "id").agg(F.sum("f").alias("f"), F.sum("t").alias("t"), F.max("d").alias("d"), F.max("td").alias("td"))
+    out = met.groupBy("qid").agg(F.sum("f").alias("n"), F.sum("t").alias("true_n"), F.sum(F.col("f") * F.col("t")).alias("equal"), F.sqrt(F.max("d")).alias("far"), F.sqrt(F.max("td")).alias("true_far")).where("true_n > 0")
     same_ids = F.coalesce((F.col("equal") == F.col("true_n")) & (F.col("n") == F.col("true_n")), F.lit(False))
     near = F.coalesce((F.col("n") == F.col("true_n")) & (F.col("far") <= F.col("true_far") + atol), F.lit(False))
     return out.select("qid", same_ids.alias("same_ids"), (same_ids | near).alias("ok"))
