@@ -29,9 +29,11 @@ SENT = 1 << 18
 KEPT = 1 << 22
 #: Points that a task holds at once where it keeps nothing, pairs that it makes at once of these, and the queries and points of a tile.
 HELD, CELLS = 1 << 18, 1 << 20
-QUERY_TILE, POINT_TILE = 64, 128
+QUERY_TILE, POINT_TILE = 32, 128
 #: Times as many points are held, some 100 bytes each, where they are ordered: a scan of the queries costs about as much for many as for few.
 ORDERED = 8
+#: Points that tell what is too far for a tile of queries, and which slabs points are dealt to.
+GUIDES = 1 << 13
 #: What a search without a schedule of its own goes by: a schedule's defaults begin with fewer queries settled and grow faster,
 #: which makes more pairs here.
 USUAL = Schedule(percentile=0.5, multiplier=2.0)
@@ -135,12 +137,12 @@ def _block_scan(sent, k: int, exclude_self: bool):
     """Keeps each task's k best points of every query of the block.
 
     Queries and held points are ordered along a curve and cut into tiles. A tile of queries meets tiles of points from
-    the nearest box on, until the next box is farther than the worst of its k-th distances. What is skipped can be no
-    neighbour: FLOAT squares are no less than the boxes' distance but for their rounding, which has a margin.
+    the nearest box on, until the next box is farther than the worst of its k-th distances, or than what was sent as too far for the tile.
+    What is skipped can be no neighbour: FLOAT squares are no less than the boxes' distance but for their rounding, which has a margin.
     """
 
     def run(batches):
-        ids, at = sent.value
+        ids, at, *limits = sent.value
         if not len(ids):
             return
         order = _curve(at)
@@ -148,16 +150,15 @@ def _block_scan(sent, k: int, exclude_self: bool):
         best_d = np.full((len(ids), k), np.inf, np.float32)
         best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
         query_low, query_high = _boxes(at, QUERY_TILE)
+        limit = limits[0] if limits else np.full(len(query_low), np.inf)
         for point, where in _held(batches, ORDERED * HELD):
             order = _curve(where)
             point, where = point[order], where[order]
             low, high = _boxes(where, POINT_TILE)
-            for tile, begin in enumerate(range(0, len(ids), QUERY_TILE)):
-                rows = slice(begin, begin + QUERY_TILE)
-                gap = np.maximum(np.maximum(low - query_high[tile], query_low[tile] - high), 0)
-                least = (gap * gap).sum(axis=1) * (1 - 1e-6) - 1e-36
-                least[np.isnan(least)] = -np.inf
-                worst = float(best_d[rows, -1].max())
+            for tile in np.flatnonzero(_apart(low.min(axis=0), high.max(axis=0), query_low, query_high) <= limit):
+                rows = slice(tile * QUERY_TILE, (tile + 1) * QUERY_TILE)
+                least = _apart(low, high, query_low[tile], query_high[tile])
+                worst = min(float(best_d[rows, -1].max()), limit[tile])
                 near = np.flatnonzero(least <= worst)
                 near = near[np.argsort(least[near])]
                 done, step = 0, 1
@@ -167,14 +168,67 @@ def _block_scan(sent, k: int, exclude_self: bool):
                     columns = (some[:, None] * POINT_TILE + np.arange(POINT_TILE)).ravel()
                     columns = columns[columns < len(point)]
                     _merge(best_d[rows], best_i[rows], _squares(at[rows], where[columns], exclude_self), point[columns])
-                    worst = float(best_d[rows, -1].max())
+                    worst = min(float(best_d[rows, -1].max()), limit[tile])
                     done, step = done + step, min(2 * step, 16)
-        q, j = np.nonzero(np.isfinite(best_d))
+        q, j = np.nonzero(np.isfinite(best_d) & (best_d <= np.repeat(limit, QUERY_TILE)[: len(ids), None]))
         yield from _found(ids[q], best_i[q, j], best_d[q, j])
 
     return run
 
 
+def _apart(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """Squares of the distances of boxes, less a margin; those of boxes without a place are less than any."""
+    gap = np.maximum(np.maximum(low - other_high, other_low - high), 0)
+    least = (gap * gap).sum(axis=1) * (1 - 1e-6) - 1e-36
+    least[np.isnan(least)] = -np.inf
+    return least
+
+
+def _limits(at: np.ndarray, guides: np.ndarray, k: int, exclude_self: bool) -> np.ndarray:
+    """For each tile of queries, which are ordered along the curve, a square of a distance within which all of them have k of the guides."""
+    guides, (low, high) = guides.astype(np.float64), _boxes(at[_curve(at)], QUERY_TILE)
+    out = np.full(len(low), np.inf)
+    if len(guides) < k:
+        return out
+
+    def limit(low: np.ndarray, high: np.ndarray, guides: np.ndarray) -> float:
+        far = np.maximum(high - guides, guides - low)
+        far = (far * far).sum(axis=1)
+        if exclude_self:  # what may be a query's own place doesn't count
+            far[((guides >= low - 1e-4) & (guides <= high + 1e-4)).all(axis=1)] = np.inf
+        far[np.isnan(far)] = np.inf
+        return np.partition(far, k - 1)[k - 1] * (1 + 1e-5) + 1e-36
+
+    for begin in range(0, len(low), 16):
+        some = slice(begin, begin + 16)
+        box = low[some].min(axis=0), high[some].max(axis=0)
+        # the guides that any of these tiles can need
+        few = guides[_apart(guides, guides, *box) <= limit(*box, guides)]
+        for tile in range(begin, min(begin + 16, len(low))):
+            out[tile] = limit(low[tile], high[tile], few) if len(few) >= k else np.inf
+    return out
+
+
+def _slabs(points: DataFrame, guides: np.ndarray) -> DataFrame | None:
+    """All points, dealt to as many slabs across the widest axis as there are cores; None if the guides don't tell slabs of about one size."""
+    parts = points.sparkSession.sparkContext.defaultParallelism
+    if parts < 2 or len(guides) < 64 * parts or not np.isfinite(guides).all():
+        return None
+    axis = int(np.argmax(guides.max(axis=0) - guides.min(axis=0)))
+    values = np.sort(guides[:, axis])
+    cuts = values[len(values) * np.arange(1, parts) // parts]
+    if np.bincount(np.searchsorted(cuts, values, side="right"), minlength=parts).max() * parts > 2 * len(values):
+        return None
+
+    def slab(begin: int, end: int) -> Column:
+        if begin == end:
+            return F.lit(begin)
+        middle = (begin + end) // 2
+        return F.when(F.col("xyz"[axis]) < F.lit(float(cuts[middle])).cast("float"), slab(begin, middle)).otherwise(slab(middle + 1, end))
+
+    return points.repartitionById(parts, slab(0, parts - 1))
+
+
 def _wide_scan(sent, k: int, exclude_self: bool):
     """For a k too large for a task to keep k points of every query: each query's k best, or all, of the points held at a time."""
 
@@ -199,17 +253,27 @@ def _wide_scan(sent, k: int, exclude_self: bool):
 
 
 def knn_blocks(data: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = SENT) -> DataFrame:
-    """Scans the data once per block of queries. The queries' ids are unique."""
-    points, asked = spread(_points(data)), _queries(queries)
+    """Scans the data once per block of queries. The queries' ids are unique.
+
+    For many queries points are dealt to slabs first, so that a task looks at few other queries than those in its slab: some points
+    guide it, by which every tile of queries has a distance that none of its neighbours can be beyond.
+    """
+    points, asked = _points(data), _queries(queries)
     spark = data.sparkSession
     wide = k * BLOCK > KEPT
     block = min(block, BLOCK if wide else max(BLOCK, KEPT // (4 * k)))
+    rows, out, guides = asked.toArrow(), None, None
+    if len(rows) > BLOCK and not wide:
+        found = points.orderBy(F.xxhash64("id")).limit(GUIDES).toArrow()
+        guides = np.column_stack([found.column(c).to_numpy() for c in "xyz"])
+    slabs = None if guides is None else _slabs(points, guides)
+    points = spread(points) if slabs is None else slabs
 
     def scan(rows: pa.Table) -> DataFrame:
         ids, at = rows.column(0).to_numpy(), np.column_stack([rows.column(i).to_numpy() for i in (1, 2, 3)])
-        return points.mapInArrow((_wide_scan if wide else _block_scan)(spark.sparkContext.broadcast((ids, at)), k, exclude_self), "qid long, id long, d2 float")
+        limits = () if guides is None else (_limits(at, guides, k, exclude_self),)
+        return points.mapInArrow((_wide_scan if wide else _block_scan)(spark.sparkContext.broadcast((ids, at, *limits)), k, exclude_self), "qid long, id long, d2 float")
 
-    rows, out = asked.toArrow(), None
     for low in range(0, max(1, len(rows)), block):
         part = scan(rows.slice(low, block))
         out = part if out is None else out.unionByName(part)

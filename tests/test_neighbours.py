@@ -217,3 +217,30 @@ def test_lists_are_read_once_to_be_compared(spark):
     truth = spark.createDataFrame([(1, 1, 5, 1.0), (1, 2, 6, 4.0), (2, 1, 7, 1.0), (3, 1, 8, 9.0), (4, 1, 9, 1.0)], "qid long, rank long, id long, d2 float")
     other = spark.createDataFrame([(1, 1, 6, 1.0), (1, 2, 5, 4.0), (2, 1, 7, 1.0), (2, 2, 8, 1.0), (3, 1, 1, 9.1), (5, 1, 5, 1.0)], truth.schema)
     assert {r["qid"]: (r["same_ids"], r["ok"]) for r in validation.matches(other, truth).collect()} == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, False)}
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_many_queries_look_at_their_own_slab(spark, exclude_self):
+    rng = np.random.default_rng(12)
+    at = np.concatenate((np.round(rng.uniform(0, 300, (5_600, 3)) * (1, 0.1, 0.1)), rng.normal(size=(400, 3)))).astype(np.float32)
+    points = [(i, *map(float, row)) for i, row in enumerate(at)]
+    p = spark.createDataFrame(points, POINT)
+    found = N.knn_blocks(p, p.where("id < 5000"), 3, exclude_self)
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == brute(points, points[:5_000], 3, exclude_self)
+
+
+def test_limits_hold_k_points_and_skip_other_slabs(monkeypatch):
+    rng = np.random.default_rng(13)
+    at = rng.uniform(0, 100, (3_000, 3)).astype(np.float32)
+    asked = at[::3]
+    limits = N._limits(asked, at[::10], 4, False)
+    d2 = ((asked[N._curve(asked)][:, None].astype(float) - at[None, ::10]) ** 2).sum(axis=2)
+    assert (np.sort(d2, axis=1)[:, 3] <= np.repeat(limits, N.QUERY_TILE)[: len(asked)]).all() and np.isfinite(limits).all()
+    assert np.isinf(N._limits(asked, at[:3], 4, False)).all()
+    pairs, squares = [], N._squares
+    monkeypatch.setattr(N, "_squares", lambda a, b, *rest: pairs.append(len(a) * len(b)) or squares(a, b, *rest))
+    far = at + np.float32(1_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3_000)), *(pa.array(np.ascontiguousarray(far[:, i])) for i in range(3))], ["id", "x", "y", "z"])
+    sent = type("Sent", (), {"value": (np.arange(1_000), asked, limits)})
+    assert not list(b for b in N._block_scan(sent, 4, False)(iter([batch])) if b.num_rows) and not pairs
