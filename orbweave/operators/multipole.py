@@ -23,6 +23,8 @@ APART = 8
 LEFT_OUT = 1e-13
 #: What softening may change a pull between cells that meet, at most.
 SMALL = 2e-8
+#: Where the rest is less than this part of the pull of the nearest places of two cells, it is under the rounding of a sum of doubles, and not summed.
+NOTHING = 2.0**-50
 TERMS = (ORDER + 1) ** 2
 
 
@@ -178,6 +180,13 @@ def is_small(width: float, soft: float) -> bool:
     return max(soft / 2 / width**2, 1e-12 / width**3) <= SMALL if width > 0 else False
 
 
+def is_nothing(offset: np.ndarray, width: float, formula: str, soft: float) -> bool:
+    """Whether the rest between cells at this offset changes no pull, that of the nearest places of the cells included."""
+    gap = np.maximum(np.abs(offset) - 1, 0) * width
+    d2 = float(gap @ gap)
+    return (1e-12 / d2**1.5 if formula == "plain" else soft / 2 / d2) < NOTHING if d2 > 0 else False
+
+
 def moments(at: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """Of bodies at places around their cell's centre: those of the harmonics, then one for each node."""
     return np.concatenate((basis(at, ORDER) @ mass, mass @ weights(at)))
@@ -227,14 +236,17 @@ def meet(offset: np.ndarray, told: dict[int, np.ndarray], into: dict[int, np.nda
         if not len(target):
             continue
         matrix = between(offset, order) if matrix is None else matrix
-        apart = GRID[:, None] + offset - GRID[None, :]
-        size = rest((apart * apart).sum(axis=2) * w**2, formula, soft) * w
+        size = None
+        if not is_nothing(offset, w, formula, soft):
+            apart = GRID[:, None] + offset - GRID[None, :]
+            size = rest((apart * apart).sum(axis=2) * w**2, formula, soft) * w
         for begin in range(0, len(target), 1024):
             t, s = target[begin : begin + 1024], source[begin : begin + 1024]
             into[level][t, :terms] += have[s, :terms] @ matrix.T
             into[level][s, :terms] += have[t, :terms] @ (matrix.T * sign[:, None] * sign)
-            into[level][t, TERMS:] += have[s, TERMS:] @ size.T
-            into[level][s, TERMS:] += have[t, TERMS:] @ size
+            if size is not None:
+                into[level][t, TERMS:] += have[s, TERMS:] @ size.T
+                into[level][s, TERMS:] += have[t, TERMS:] @ size
 
 
 def descend(into: dict[int, np.ndarray], levels: int) -> np.ndarray:

@@ -77,3 +77,19 @@ def test_bodies_without_cells_meet_pair_by_pair(spark, monkeypatch):
         assert np.allclose(forces(nbody.exact(spark.createDataFrame(rows, BODY), 1.0)), brute(rows))
     lost = spark.createDataFrame([(i, float("nan") if i == 7 else float(i), 0.0, 0.0, 1.0) for i in range(150)], BODY)
     assert nbody.exact(lost, 1.0).count() == 150 and cubes == [None] * 3
+
+
+def test_a_rest_under_the_rounding_is_not_summed():
+    width, levels = {2: 14.0, 3: 7.0}, (2, 3)
+    told = {level: np.ones((8**level, multipole.LENGTH)) for level in levels}
+    for x in told.values():
+        x[:, multipole.TERMS :] = np.nan  # not to be read
+    into = {level: np.zeros_like(x) for level, x in told.items()}
+    multipole.meet(np.array([3, 0, 0]), told, into, width, "plain", 0.0)
+    assert all(np.isfinite(x).all() and x[:, : multipole.TERMS].any() for x in into.values())
+    for formula in ("plain", "softened"):
+        for offset, w in ((np.array([2, 2, 0]), 7.0), (np.array([3, 0, 0]), 7.0), (np.array([5, 5, 5]), 50.0)):
+            d = np.linalg.norm(np.maximum(np.abs(offset) - 1, 0)) * w  # the nearest places
+            changed = abs(kernel(np.array([d * d]).astype(np.longdouble), formula)[0] * np.longdouble(d) ** 3 - 1)
+            assert not multipole.is_nothing(offset, w, formula, nbody.SOFT) or changed < 2.0**-50
+    assert not multipole.is_nothing(np.array([2, 0, 1]), 0.01, "plain", 0.0) and not multipole.is_nothing(np.array([5, 5, 5]), 50.0, "softened", nbody.SOFT)
