@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.plans.cuts import Cuts
+
 CLOSE = 1e-5
 
 
@@ -15,7 +17,8 @@ def matches(found: DataFrame, truth: DataFrame, atol: float = CLOSE) -> DataFram
     """
     sides = found.select("qid", "rank", "id", F.lit(1).alias("f"), F.lit(0).alias("t"), F.col("d2").alias("d"), F.lit(None).alias("td"))
     sides = sides.unionByName(truth.select("qid", "rank", "id", F.lit(0).alias("f"), F.lit(1).alias("t"), F.lit(None).alias("d"), F.col("d2").alias("td")))
-    met = sides.groupBy("qid", "rank", "id").agg(F.sum("f").alias("f"), F.sum("t").alias("t"), F.max("d").alias("d"), F.max("td").alias("td"))
+    # dealt by query once, which serves both groupings
+    met = sides.repartition("qid").groupBy("qid", "rank", "id").agg(F.sum("f").alias("f"), F.sum("t").alias("t"), F.max("d").alias("d"), F.max("td").alias("td"))
     out = met.groupBy("qid").agg(F.sum("f").alias("n"), F.sum("t").alias("true_n"), F.sum(F.col("f") * F.col("t")).alias("equal"), F.sqrt(F.max("d")).alias("far"), F.sqrt(F.max("td")).alias("true_far")).where("true_n > 0")
     same_ids = F.coalesce((F.col("equal") == F.col("true_n")) & (F.col("n") == F.col("true_n")), F.lit(False))
     near = F.coalesce((F.col("n") == F.col("true_n")) & (F.col("far") <= F.col("true_far") + atol), F.lit(False))
@@ -47,6 +50,9 @@ def force_error(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 def failures(found: DataFrame, truth: DataFrame, most: int = 3) -> DataFrame:
     """The rows of the first queries that don't match, with both sides' ids and distances."""
-    bad = matches(found, truth).where(~F.col("ok")).orderBy("qid").limit(most).select("qid")
+    cuts = Cuts(found.sparkSession)
+    # the few queries first, so that neither side is sorted or joined as a whole
+    bad = F.broadcast(cuts.cut(matches(found, truth).where(~F.col("ok")).orderBy("qid").limit(most).select("qid")))
     a, b = found.select("qid", "rank", "id", "d2"), truth.select("qid", "rank", F.col("id").alias("true_id"), F.col("d2").alias("true_d2"))
-    return a.join(b, ["qid", "rank"], "full").join(bad, "qid", "left_semi").orderBy("qid", "rank")
+    a, b = (side.join(bad, "qid", "left_semi") for side in (a, b))
+    return a.join(b, ["qid", "rank"], "full").orderBy("qid", "rank")

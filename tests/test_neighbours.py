@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.operators import neighbours as N
 from orbweave.operators import sampling, validation
@@ -244,3 +245,15 @@ def test_limits_hold_k_points_and_skip_other_slabs(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3_000)), *(pa.array(np.ascontiguousarray(far[:, i])) for i in range(3))], ["id", "x", "y", "z"])
     sent = type("Sent", (), {"value": (np.arange(1_000), asked, limits)})
     assert not list(b for b in N._block_scan(sent, 4, False)(iter([batch])) if b.num_rows) and not pairs
+
+
+def test_failures_are_joined_by_the_failing_queries_only(spark):
+    truth = spark.createDataFrame([(q, r, 10 * q + r, float(r)) for q in range(1, 40) for r in (1, 2)], "qid long, rank long, id long, d2 float")
+    wrong = truth.where("not (qid = 7 and rank = 2)").withColumn("d2", F.when((F.col("qid") % 5 == 0) & (F.col("rank") == 2), 9.0).otherwise(F.col("d2")).cast("float"))
+    wrong = wrong.withColumn("id", F.when(F.col("qid") % 5 == 0, -F.col("id")).otherwise(F.col("id")))
+    found = validation.failures(wrong, truth)
+    rows = [tuple(r) for r in found.collect()]
+    assert rows == [(5, 1, -51, 1.0, 51, 1.0), (5, 2, -52, 9.0, 52, 2.0), (7, 1, 71, 1.0, 71, 1.0), (7, 2, None, None, 72, 2.0), (10, 1, -101, 1.0, 101, 1.0), (10, 2, -102, 9.0, 102, 2.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FullOuter") < plan.index("LeftSemi") and plan.count("LeftSemi") == 2
+    assert validation.matches(wrong, truth)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + validation.matches(wrong, truth)._jdf.queryExecution().executedPlan().toString().count("Exchange SinglePartition") <= 1
