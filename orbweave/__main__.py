@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> str:
     spark = SparkSession.getActiveSession() or get_session()
     if args.verb == "gravity":
         began = time.perf_counter()
-        row = nbody.total_force(nbody.barnes_hut(readers.bodies_csv(spark, args.bodies), args.theta, args.g)).first()
+        row = nbody.total_force(nbody.barnes_hut(readers.bodies_csv(spark, args.bodies, "double"), args.theta, args.g)).first()
         line = f"{row['n_bodies']} bodies, total force {row['total_force']:.6g}, {time.perf_counter() - began:.3f} s"
         print(line)
         return line

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def number(text: Column) -> Column:
-    """FLOAT, or null for what isn't a finite number."""
+#: The greatest finite value of a type.
+MOST = {"float": 3.4028235e38, "double": 1.7976931348623157e308}
+
+
+def number(text: Column, kind: str = "float") -> Column:
+    """FLOAT, or DOUBLE if ``kind`` says so, or null for what isn't a finite number."""
     trimmed = F.trim(text)
-    value = F.when(trimmed.rlike(NUMBER), trimmed.try_cast("float"))
-    return F.when(F.abs(value) <= 3.4028235e38, value)
+    value = F.when(trimmed.rlike(NUMBER), trimmed.try_cast(kind))
+    return F.when(F.abs(value) <= MOST[kind], value)
 
 
 FILE, BLOCK = "__file", "__block"
@@ -76,10 +80,13 @@ def points_csv_with_header(spark: SparkSession, path: str) -> DataFrame:
     return with_ordinal(rows.where("x is not null and y is not null and z is not null"))
 
 
-def bodies_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``x,y,z,mass``: what isn't a number is 0, lines of fewer fields and masses that aren't positive are dropped; at rest."""
-    zero = F.lit(0.0).cast("float")
-    four = [F.coalesce(number(F.get("f", F.lit(i))), zero).alias(c) for i, c in enumerate(("x", "y", "z", "mass"))]
+def bodies_csv(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
+    """Lines ``x,y,z,mass``: what isn't a number is 0, lines of fewer fields and masses that aren't positive are dropped; at rest.
+
+    As "double" places keep all digits of their text: between bodies near each other a FLOAT's rounding changes the pull.
+    """
+    zero = F.lit(0.0).cast(kind)
+    four = [F.coalesce(number(F.get("f", F.lit(i)), kind), zero).alias(c) for i, c in enumerate(("x", "y", "z", "mass"))]
     rows = _fields(spark, path).where(F.size("f") >= 4).select(*four, *_PLACE).where(F.col("mass") > 0)
     return with_ordinal(rows).select("*", *(zero.alias(c) for c in ("vx", "vy", "vz")))
 

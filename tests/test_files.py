@@ -41,6 +41,18 @@ def test_bodies(spark, tmp_path):
     assert rows(readers.bodies_csv(spark, str(path)), "id", "x", "y", "z", "mass", "vx") == [(0, 0.0, 1.0, 2.0, 3.0, 0.0)]
 
 
+def test_gravity_of_bodies_near_each_other(spark, tmp_path):
+    """A FLOAT of a place around 100 is off by some 4e-6, which is much between bodies 1e-4 apart."""
+    path = tmp_path / "b.csv"
+    path.write_text("99.9931,4,7,2\n99.9932,4,7,3\n1e-40,0,0,1e-60\n1e400,-1e39,0,1\n")
+    assert rows(readers.bodies_csv(spark, str(path), "double"), "id", "x", "y", "mass") == [(0, 99.9931, 4.0, 2.0), (1, 99.9932, 4.0, 3.0), (2, 1e-40, 0.0, 1e-60), (3, 0.0, -1e39, 1.0)]
+    path.write_text("99.9931,4,7,2\n99.9932,4,7,3\n")
+    d = 99.9932 - 99.9931
+    want = 2 * 2 * 3 * d / (d * d * (d * d + 1e-6) ** 0.5)
+    for theta in ("0", "0.5"):
+        assert float(cli.main(["gravity", str(path), theta, "--g", "1"]).split()[4].rstrip(",")) == pytest.approx(want, rel=1e-5)
+
+
 def test_polylines_and_binary(spark, tmp_path):
     path = tmp_path / "l.csv"
     path.write_text('ID,POLYLINE\n1,"[[1.0,2.0],[3.0,4.0]]"\n2,"[]"\n3,"oops"\n')
