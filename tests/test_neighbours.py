@@ -87,6 +87,40 @@ def test_a_very_large_k_needs_no_more_memory(spark, monkeypatch):
         assert best == brute(points, points[:20], k, exclude_self)
 
 
+@pytest.mark.parametrize("k", [1_500, 10**9])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_a_large_k_shuffles_no_pairs(spark, monkeypatch, k, exclude_self):
+    points = [(i, *at) for i, *at in cloud(2_000, 8, "lattice")]
+    random.Random(9).shuffle(points)
+    queries = points[:90] + [(10_000, 700.0, 1.0, 2.0)]
+    p, q = spark.createDataFrame(points, POINT), spark.createDataFrame(queries, POINT)
+    monkeypatch.setattr(N, "TOGETHER", 3)  # several lists of queries at one place
+    found = N.knn_blocks(p, q, k, exclude_self)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange")  # of the queries, before they meet points
+    assert rows(found) == sorted(brute(points, queries, k, exclude_self))
+    monkeypatch.setattr(N, "RANKED", 1_999)  # more than are sent
+    assert rows(N.knn_blocks(p, q.where("id < 60"), k, exclude_self)) == sorted(brute(points, [x for x in queries if x[0] < 60], k, exclude_self))
+
+
+def test_ranked_runs_are_whole_and_short(monkeypatch):
+    monkeypatch.setattr(N, "ROWS", 100)
+    monkeypatch.setattr(N, "RUN", 7)
+    points = cloud(300, 10, "lattice")
+    sent = type("Sent", (), {"value": (np.arange(300), np.array([r[1:] for r in points], np.float32))})
+    asked = pa.table([pa.array([5, 9, 200, 300]), *(pa.array([1.0, 1.0, 0.5, 1.0], pa.float32()) for _ in "xyz")], names=["qid", "qx", "qy", "qz"])
+    together = N._asked_together(asked)
+    assert together.column("qids").to_pylist() == [[200], [5, 9, 300]] and together.column("part").to_pylist() == [0, 1]
+    for k in (20, 1_000):
+        found, sizes = [], set()
+        for b in N._ranking(sent, k, False)(together.to_batches()):
+            (qids, low, ids, d2s), = zip(*(c.to_pylist() for c in b.columns))
+            sizes.add((len(qids), len(ids)))
+            found += [(q, low + at, i, d) for q in qids for at, (i, d) in enumerate(zip(ids, d2s), 1)]
+        assert all(n * m <= 100 for n, m in sizes)
+        assert sorted(found) == brute(points, [(q, *(0.5 if q == 200 else 1.0 for _ in "xyz")) for q in (5, 9, 200, 300)], k)
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e-25, 1e18])
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_block_scans_skip_only_far_tiles(monkeypatch, scale, exclude_self):
